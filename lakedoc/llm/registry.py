@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, media, mixing, warc
 
 
 def queries() -> dict:
-    return {"op9_line_dedup": line_dedup.op9_line_dedup, "op10_mixing": mixing.op10_mixing}
+    return {"op5_warc": warc.op5_warc, "op6_media": media.op6_media, "op9_line_dedup": line_dedup.op9_line_dedup, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
