@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, warc
+from . import decontaminate, line_dedup, media, mixing, warc
 
 
 def queries() -> dict:
-    return {"op5_warc": warc.op5_warc, "op6_media": media.op6_media, "op9_line_dedup": line_dedup.op9_line_dedup, "op10_mixing": mixing.op10_mixing}
+    return {"op5_warc": warc.op5_warc, "op6_media": media.op6_media, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_line_dedup": line_dedup.op9_line_dedup, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op8_decontaminate": decontaminate.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}

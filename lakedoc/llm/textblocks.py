@@ -17,9 +17,9 @@ BLOCK_BYTES = 1 << 20
 #: [\x20\x09-\x0D]
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-#: [\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z has become a-z
+#: [\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z has become a-z, so A-Z are letters here
 NOT_ALNUM = np.ones(256, bool)
-NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
