@@ -2,8 +2,8 @@
 
 A shard is a block of whole documents as a sequence of word numbers. Numbers come from the
 sorted words of the benchmark; runs of other words, and ends of documents, become one
-separator, since no test phrase holds them. The shard's suffixes are sorted to the depth that
-a phrase needs, the Burrows-Wheeler transform is stored as a wavelet matrix of bit vectors
+separator, since no test phrase holds them. The shard's suffixes are sorted up to their
+separators, the Burrows-Wheeler transform is stored as a wavelet matrix of bit vectors
 with counted blocks, and all phrases are searched backwards at once by its ranks. Occurrences are
 located by walking to sampled suffix positions, become spans of words, and are merged.
 
@@ -98,32 +98,56 @@ class WaveletMatrix:
         return self
 
 
-def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` symbols or more, cut at the first 0; equal ones by position."""
+def sort_suffixes(text: np.ndarray) -> np.ndarray:
+    """Order of all suffixes cut at their first 0 (``text`` ends with one); equal ones by position.
+
+    As many symbols as a machine word holds are sorted at once, then groups of still equal
+    suffixes are split by the ranks of what follows, twice as far each round.
+    """
     n = len(text)
-    rank = text.astype(np.int64)
-    span = 1
-    while True:
-        later = np.zeros(n, np.int64)
-        if span < n:
-            later[: n - span] = rank[span:]
-        later[rank == 0] = 0
-        key = rank * (int(rank.max(initial=0)) + 1) + later
-        order = np.argsort(key, kind="stable" if span * 2 >= depth else None)
+    zeros = np.flatnonzero(text == 0)
+    length = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
+    bits = max(1, int(text.max()).bit_length())
+    span = 62 // bits
+    key = np.zeros(n, np.int64)
+    for k in range(span):
+        key <<= bits
+        key[: n - k] |= np.where(length[: n - k] > k, text[k:], 0)
+    order = np.argsort(key)
+    ordered = key[order]
+    start = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    tied = ~start | ~np.concatenate([start[1:], [True]])
+    tied[: len(zeros)] = False  # suffixes that start with 0 are never told apart
+    rows = np.flatnonzero(tied)
+    ended: list[np.ndarray] = []
+    while len(rows):
+        at = order[rows]
+        over = length[at] < span
+        ended.append(rows[over])
+        rows, at = rows[~over], at[~over]
+        if not len(rows):
+            break
+        pair = rank[at] * n + rank[at + span]
+        o = np.argsort(pair)
+        order[rows], pair = at[o], pair[o]
+        start[rows[1:]] |= pair[1:] != pair[:-1]
+        rank[order[rows]] = np.maximum.accumulate(np.where(start[rows], rows, 0))
+        rows = rows[~(start[rows] & np.concatenate([start, [True]])[rows + 1])]
         span *= 2
-        if span >= depth:
-            return order
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + (0 if n and ordered[0] == 0 else 1)
-        rank = new
+    if ended:
+        rows = np.sort(np.concatenate(ended))
+        at = order[rows]
+        order[rows] = at[np.lexsort((at, rank[at]))]
+    return order
 
 
 class FmIndex:
     """Backward search and location over one shard of word numbers (0: separator)."""
 
-    def __init__(self, text: np.ndarray, n_symbols: int, depth: int):
-        order = sort_suffixes(text, depth)
+    def __init__(self, text: np.ndarray, n_symbols: int):
+        order = sort_suffixes(text)
         n = len(text)
         bwt = text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
@@ -256,7 +280,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, most_w
     def scan(block, w, vocabulary, phrases, lengths, pairs, ids):
         number = numbers_of(word_hashes(block, w), vocabulary)
         text, word = shard_of(number, w)
-        index = FmIndex(text, len(vocabulary) + 1, width)
+        index = FmIndex(text, len(vocabulary) + 1)
         lo, hi = index.search(phrases, lengths)
         hit = np.flatnonzero(hi > lo)
         n = hi[hit] - lo[hit]
