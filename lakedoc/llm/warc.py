@@ -3,7 +3,9 @@
 ``spark.read.format("warc")`` plans partitions over files, takes predicates on the record type
 and other header fields, parses the headers of a record first, and seeks past the
 payload of a record that they reject or whose payload no wanted column needs: give a
-``schema`` without ``payload`` and ``payload_sha1`` and no payload is read.
+``schema`` without ``payload`` and ``payload_sha1`` and no payload is read. In compressed archives that
+this writer made, each record is a gzip member that tells its length, and is inflated as far as
+it is read; others are inflated whole.
 ``df.write.format("warc")`` rolls files at ``target_bytes``, so that a file is a fair partition;
 a manifest written at commit names the files of finished tasks, so retried tasks leave nothing.
 
@@ -21,7 +23,9 @@ import hashlib
 import io
 import json
 import posixpath
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,10 +121,48 @@ def _holds(predicate, value: str | None) -> bool:
 TESTED = (IsNull, IsNotNull, EqualNullSafe, EqualTo, In, StringStartsWith, StringEndsWith, StringContains)
 
 
+def deflated(data: bytes) -> bytes:
+    """A gzip member whose header tells its length (field ``sl`` of the WARC format), so readers can seek past it."""
+    pack = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x04\xff" + struct.pack("<H2sHII", 12, b"sl", 8, len(body) + 32, len(data) % 2**32) + body + struct.pack("<II", zlib.crc32(data), len(data) % 2**32)
+
+
+def _skip_length(head: bytes) -> int | None:
+    if head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"sl\x08\x00":
+        return None
+    return struct.unpack_from("<I", head, 16)[0]
+
+
+class Inflated(io.RawIOBase):
+    """A gzip member that is inflated no further than it is read."""
+
+    def __init__(self, raw, length: int):
+        self.raw, self.left, self.unpack = raw, length, zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.unpack.eof:
+            packed = self.unpack.unconsumed_tail
+            if not packed:
+                packed = self.raw.read(min(self.left, 1 << 13))
+                self.left -= len(packed)
+                if not packed:
+                    return 0
+            if data := self.unpack.decompress(packed, len(buffer)):
+                buffer[: len(data)] = data
+                return len(data)
+        return 0
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, schema, split_bytes: int):
         self.path, self.names, self.split_bytes = path, schema.fieldNames(), split_bytes
         self.predicates: list = []
+        self.wants_payload = bool({"payload", "payload_sha1"} & set(self.names))
+        self.wants_http = bool({"http_status", "http_content_length", "payload_bytes"} & set(self.names))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -174,52 +216,81 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in self.names], names=self.names)
 
     def _records(self, system: pafs.FileSystem, name: str) -> Iterator[dict]:
-        wants_payload = "payload" in self.names or "payload_sha1" in self.names
-        wants_http = wants_payload or bool({"http_status", "http_content_length", "payload_bytes"} & set(self.names))
         with system.open_input_file(name) as raw:
-            source = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw, 1 << 16)
+            if not name.endswith(".gz"):
+                source = io.BufferedReader(raw, 1 << 16)
+            elif _skip_length(raw.read(64)) is None:
+                raw.seek(0)
+                source = gzip.GzipFile(fileobj=raw)
+            else:  # members tell their lengths: inflate what is wanted and seek past the rest
+                at, size = 0, raw.size()
+                while at < size:
+                    raw.seek(at)
+                    if (length := _skip_length(raw.read(64))) is None:
+                        raise ValueError(f"{name}: no member length at byte {at}")
+                    raw.seek(at)
+                    row, _ = self._one(io.BufferedReader(Inflated(raw, length), 1 << 12), name, at)
+                    if row is not None:
+                        yield row
+                    at += length
+                return
             while True:
                 at = source.tell()
-                first = source.readline()
-                while first in (b"\r\n", b"\n"):
-                    first = source.readline()
-                if not first:
+                row, end = self._one(source, name, at)
+                if end is None:
                     return
-                if not first.startswith(b"WARC/"):
-                    raise ValueError(f"{name}: no record at byte {at}")
-                head = self._head(source, name, at)
-                length = int(head.get("content-length", "-1"))
-                if length < 0:
-                    raise ValueError(f"{name}: record at byte {at} has no length")
-                end = source.tell() + length
-                row = {c: head.get(h) for c, h in HEADER_OF.items()} | {"content_length": length}
-                if all(_holds(p, row[p.attribute[0]]) for p in self.predicates):
-                    size = length
-                    if wants_http and "msgtype=response" in head.get("content-type", "").replace(" ", ""):
-                        status = source.readline().split(None, 2)
-                        http = self._head(source, name, at)
-                        size = end - source.tell()
-                        row["http_status"] = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
-                        row["http_content_length"] = int(n) if (n := http.get("content-length", "")).isdigit() else None
-                    row["payload_bytes"] = size
-                    if wants_payload:
-                        data = source.read(size)
-                        if len(data) != size:
-                            raise ValueError(f"{name}: record at byte {at} is cut off")
-                        if "payload_sha1" in self.names:
-                            row["payload_sha1"] = base32_sha1(data)
-                        row["payload"] = data
+                if row is not None:
                     yield row
                 source.seek(end)
 
+    def _one(self, source, name: str, at: int) -> tuple[dict | None, int | None]:
+        """The row of the next record, or None if a predicate rejects its headers, and where the record ends (None: no more)."""
+        first = source.readline()
+        while first in (b"\r\n", b"\n"):
+            first = source.readline()
+        if not first:
+            return None, None
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"{name}: no record at byte {at}")
+        head = self._head(source, name, at)
+        length = int(head.get("content-length", "-1"))
+        if length < 0:
+            raise ValueError(f"{name}: record at byte {at} has no length")
+        end = source.tell() + length if source.seekable() else -1
+        row = {c: head.get(h) for c, h in HEADER_OF.items()} | {"content_length": length}
+        if not all(_holds(p, row[p.attribute[0]]) for p in self.predicates):
+            return None, end
+        size = length
+        if (self.wants_payload or self.wants_http) and "msgtype=response" in head.get("content-type", "").replace(" ", ""):
+            line = source.readline()
+            status = line.split(None, 2)
+            used: list[int] = [len(line)]
+            http = self._head(source, name, at, used)
+            size = length - sum(used)
+            row["http_status"] = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
+            row["http_content_length"] = int(n) if (n := http.get("content-length", "")).isdigit() else None
+        row["payload_bytes"] = size
+        if self.wants_payload:
+            data = source.read(size)
+            if len(data) != size:
+                raise ValueError(f"{name}: record at byte {at} is cut off")
+            if "payload_sha1" in self.names:
+                row["payload_sha1"] = base32_sha1(data)
+            row["payload"] = data
+        return row, end
+
     @staticmethod
-    def _head(source, name: str, at: int) -> dict[str, str]:
+    def _head(source, name: str, at: int, used: list[int] | None = None) -> dict[str, str]:
         lines = []
-        while (line := source.readline()) not in (b"\r\n", b"\n"):
+        while True:
+            line = source.readline()
+            if used is not None:
+                used.append(len(line))
+            if line in (b"\r\n", b"\n"):
+                return _fields(b"\r\n".join(lines))
             if not line:
                 raise ValueError(f"{name}: headers of the record at byte {at} are cut off")
             lines.append(line.rstrip(b"\r\n"))
-        return _fields(b"\r\n".join(lines))
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -241,7 +312,7 @@ class WarcWriter(DataSourceArrowWriter):
                     names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.compress)
                     out = system.open_output_stream(posixpath.join(root, names[-1]), compression=None)
                 data = record(row)
-                out.write(gzip.compress(data, 1) if self.compress else data)
+                out.write(deflated(data) if self.compress else data)
         if out is not None:
             out.close()
         return Written(names)
@@ -293,7 +364,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema, int(self.options.get("split_bytes", 64 << 20)))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("target_bytes", 64 << 20)), self.options.get("compress", "false") == "true")
+        return WarcWriter(self.options["path"], int(self.options.get("target_bytes", 64 << 20)), self.options.get("compress", "true") == "true")
 
 
 def register(spark: SparkSession) -> None:
