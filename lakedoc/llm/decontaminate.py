@@ -283,6 +283,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, most_w
         index = FmIndex(text, len(vocabulary) + 1)
         lo, hi = index.search(phrases, lengths)
         hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return {}
         n = hi[hit] - lo[hit]
         which = np.repeat(hit, n)
         suffix = np.repeat(lo[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -293,7 +295,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, most_w
         items_of = {int(p): pairs[a:b, 1] for p, a, b in zip(hit, first, last, strict=True)}
         order = np.lexsort((at, doc))
         doc, at, which = doc[order], at[order], which[order]
-        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         for a, b in zip(edges, [*edges[1:], len(doc)], strict=True):
             begin = at[a:b] - w.lo[doc[a]]
             end = np.maximum.accumulate(begin + lengths[which[a:b]])
