@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, mixing, warc
+from . import decontaminate, line_dedup, lm_scoring, media, minhash, mixing, warc
 
 
 def queries() -> dict:
-    return {"op5_warc": warc.op5_warc, "op6_media": media.op6_media, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_line_dedup": line_dedup.op9_line_dedup, "op10_mixing": mixing.op10_mixing}
+    return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+        "op3_near_dedup": minhash.op3_near_dedup,
+        "op5_warc": warc.op5_warc,
+        "op6_media": media.op6_media,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
