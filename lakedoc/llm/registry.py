@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, lm_scoring, media, minhash, mixing, warc
+from . import decontaminate, language_id, line_dedup, lm_scoring, media, minhash, mixing, quality_crf, warc
 
 
 def queries() -> dict:
     return {
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op3_near_dedup": minhash.op3_near_dedup,
+        "op4_language_id": language_id.op4_language_id,
         "op5_warc": warc.op5_warc,
         "op6_media": media.op6_media,
+        "op7_quality": quality_crf.op7_quality,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
