@@ -114,12 +114,13 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
         key <<= bits
         key[: n - k] |= np.where(length[: n - k] > k, text[k:], 0)
     order = np.argsort(key)
+    order[: len(zeros)] = zeros
     ordered = key[order]
     start = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     tied = ~start | ~np.concatenate([start[1:], [True]])
-    tied[: len(zeros)] = False  # suffixes that start with 0 are never told apart
+    tied[: len(zeros)] = False  # suffixes that start with 0 stay in the order of their positions
     rows = np.flatnonzero(tied)
     ended: list[np.ndarray] = []
     while len(rows):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, lm_scoring, media, minhash, mixing, quality_crf, warc
+from . import decontaminate, language_id, line_dedup, lm_scoring, media, minhash, mixing, quality_crf, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_near_dedup": minhash.op3_near_dedup,
         "op4_language_id": language_id.op4_language_id,
         "op5_warc": warc.op5_warc,

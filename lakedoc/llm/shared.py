@@ -31,3 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spill(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and continue from there: as ``cut``, for wide or large rows.
+
+    What it was made from is not needed any more, so Spark's cleaner is given the chance to delete those shuffle files.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
