@@ -198,6 +198,10 @@ def _any_of(field: Typed | Variant, values, negated: bool) -> Column:
     return reduce(or_, parts) if parts else F.lit(False)
 
 
+def _is(value):
+    return lambda x: _equal(Variant(x, "$"), value, True)
+
+
 def _contains_all(field: Typed | Variant, values) -> Column:
     if not _may_be(field, "array"):
         return F.lit(False)
@@ -207,4 +211,4 @@ def _contains_all(field: Typed | Variant, values) -> Column:
         if any(kind_of_value(v) != kind for v in values):
             return F.lit(False)
         return reduce(and_, [F.array_contains(array, _literal(Typed(None, field.type.elementType), v)) for v in values], F.size(array) > 0)
-    return reduce(and_, [F.exists(array, lambda x, v=v: _equal(Variant(x, "$"), v, True)) for v in values], F.size(array) > 0)
+    return reduce(and_, [F.exists(array, _is(v)) for v in values], F.size(array) > 0)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +86,10 @@ class Collection:
         if bookmark is not None:
             if sort:
                 raise ValueError("a bookmark pages in order of ids")
-            docs = docs.where(F.struct(*self.order) > F.struct(*[F.lit(b) for b in bookmark]) if isinstance(bookmark, (list, tuple)) else F.col(self.order[0]) > F.lit(bookmark))
+            after = bookmark if isinstance(bookmark, (list, tuple)) else [bookmark]
+            pairs = list(zip(self.order, after, strict=True))
+            past = [reduce(and_, [F.col(c) == v for c, v in pairs[:k]], F.col(pairs[k][0]) > pairs[k][1]) for k in range(len(pairs))]
+            docs = docs.where(reduce(or_, past))
         ordering = [*self.sort_columns(sort), *self.order]
         if limit is not None:
             docs = docs.orderBy(*ordering)

@@ -21,6 +21,10 @@ from .collection import Collection
 DEFAULT_LIMIT, FACET_TERMS = 25, 1000
 
 
+def _is(word: str):
+    return lambda t: t == word
+
+
 class Query:
     def __and__(self, other: Query) -> Query:
         return Both(self, other)
@@ -171,7 +175,7 @@ class SearchIndex:
         for k, (f, w) in enumerate(words):
             idf = math.log(1 + (total["n"] - total[f"n{k}"] + 0.5) / (total[f"n{k}"] + 0.5))
             all_tokens = self.tokens(f)
-            tf = F.size(F.filter(all_tokens, lambda t, w=w: t == w))
+            tf = F.size(F.filter(all_tokens, _is(w)))
             parts.append(F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size(all_tokens) / F.lit(max(total[f"s{k}"] or 1.0, 1e-9)))))
         return hits.withColumn("score", sum(parts[1:], parts[0]))
 

@@ -52,7 +52,7 @@ class View:
             if e.each is None:
                 parts.append((F.array(self._row(e, None)), e.when))
             else:
-                parts.append((F.transform(e.each, lambda x, e=e: self._row(e, x)), e.when))
+                parts.append((F.transform(e.each, self._row_of(e)), e.when))
         none = lambda a: F.slice(a, 1, 0)
         arrays = [a if w is None else F.when(w, a).otherwise(none(a)) for a, w in parts]
         if len(arrays) == 1 and self.emits[0].each is None:
@@ -68,6 +68,9 @@ class View:
         value = e.value if e.value is not None else F.lit(None).cast("string")
         return [*[k.alias(f"k{i}") for i, k in enumerate(_columns(e.key))], value.alias("value")]
 
+    def _row_of(self, e: Emit) -> Callable[[Column], Column]:
+        return lambda x: self._row(e, x)
+
     @staticmethod
     def _row(e: Emit, x: Column | None) -> Column:
         key = e.key(x) if callable(e.key) and not isinstance(e.key, Column) else e.key
