@@ -52,7 +52,8 @@ class View:
             if e.each is None:
                 parts.append((F.array(self._row(e, None)), e.when))
             else:
-                parts.append((F.transform(e.each, self._row_of(e)), e.when))
+                empty = F.array().cast(docs.select(e.each.alias("each")).schema["each"].dataType)
+                parts.append((F.transform(F.coalesce(e.each, empty), self._row_of(e)), e.when))
         none = lambda a: F.slice(a, 1, 0)
         arrays = [a if w is None else F.when(w, a).otherwise(none(a)) for a, w in parts]
         if len(arrays) == 1 and self.emits[0].each is None:
@@ -60,7 +61,7 @@ class View:
             docs = docs if e.when is None else docs.where(e.when)
             row = self._plain(e)
             return docs.select(F.col("_id").alias("id"), *row)
-        joined = arrays[0] if len(arrays) == 1 else F.concat(*[F.coalesce(a, none(a)) for a in arrays])
+        joined = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
         return docs.select(F.col("_id").alias("id"), F.explode(joined).alias("e")).select("id", "e.*")
 
     @staticmethod

@@ -1,7 +1,7 @@
 """Replication between revision tables: what the target lacks is merged into its leaves.
 
 One-shot replication is an anti-join and a union. A continuous one appends the missing leaves of each micro-batch
-to the target's log, in a folder named by the batch, so a batch that is run again writes the same rows.
+to the target's log, in a folder named by job and batch, so a batch that is run again writes the same rows.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.revisions import leaves_of, merge_revisions, missing_revisions
 
@@ -41,24 +43,30 @@ def common_checkpoint(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def replicate_stream(log: DataFrame, target_path: str, checkpoint: str, *, filters: Sequence[Callable[[DataFrame], DataFrame]] = (), available_now: bool = True):
     """Follow a log of revisions into the table at ``target_path``; ``read_target`` gives its leaves."""
-    schema = log.schema
+    schema, job = log.schema, replication_id(checkpoint, target_path)[:16]
 
     def deliver(batch: DataFrame, number: int) -> None:
         rows = batch
         for f in filters:
             rows = f(rows)
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = spark.createDataFrame([], schema)
-        to_send(rows, held).write.mode("overwrite").parquet(f"{target_path}/batch={number:012d}")
+        own = (F.col("_job") == job) & (F.col("_batch") == number)  # what an earlier try of this batch wrote does not count
+        held = _held(batch.sparkSession, target_path, schema).where(~own).select(*schema.fieldNames())
+        to_send(rows, held).write.mode("overwrite").parquet(f"{target_path}/_job={job}/_batch={number}")
 
     writer = log.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_target(spark, target_path: str, schema) -> DataFrame:
-    return leaves_of(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target_path))
+def _held(spark: SparkSession, target_path: str, schema: StructType) -> DataFrame:
+    whole = StructType([*schema.fields, StructField("_job", StringType()), StructField("_batch", LongType())])
+    try:
+        return spark.read.schema(whole).option("basePath", target_path).parquet(f"{target_path}/_job=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
+def read_target(spark: SparkSession, target_path: str, schema: StructType) -> DataFrame:
+    """Leaves of all that was replicated there."""
+    return leaves_of(_held(spark, target_path, schema).select(*schema.fieldNames()))
