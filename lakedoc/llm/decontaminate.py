@@ -112,7 +112,8 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(span):
         key <<= bits
-        key[: n - k] |= np.where(length[: n - k] > k, text[k:], 0)
+        if k < n:
+            key[: n - k] |= np.where(length[: n - k] > k, text[k:], 0)
     order = np.argsort(key)
     order[: len(zeros)] = zeros
     ordered = key[order]
