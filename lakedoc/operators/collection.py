@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,12 +73,14 @@ class Collection:
             found.append(c.asc_nulls_first() if direction == "asc" else c.desc_nulls_last())
         return found
 
-    def find(self, selector: dict, *, fields: Sequence[str] | None = None, sort: Sequence = (), limit: int = DEFAULT_FIND_LIMIT, skip: int = 0, bookmark=None, partition: str | None = None) -> DataFrame:
+    def find(self, selector: dict, *, fields: Sequence[str] | None = None, sort: Sequence = (), limit: int | None = DEFAULT_FIND_LIMIT, skip: int = 0, bookmark=None, partition: str | None = None, stats: Observation | None = None) -> DataFrame:
         """Documents that match, sorted, paged and projected. ``bookmark``: the last row's order value; rows after it follow.
 
-        ``limit=None`` returns all; 0 stands for the default, 25.
+        ``limit=None`` returns all; 0 stands for the default, 25. ``stats`` observes ``docs_examined``, which keeps the filter out of the scan.
         """
         found = self.live()
+        if stats is not None:
+            found = replace(found, docs=found.docs.observe(stats, F.count(F.lit(1)).alias("docs_examined")))
         if partition is not None:
             found = replace(found, docs=found.docs.where(F.col("_id").startswith(f"{partition}:")))
         found = found.where(selector)

@@ -137,6 +137,41 @@ class View:
         return rows.join(keys.select(F.col(key_col).alias("k0")), "k0")
 
 
+@dataclass
+class PythonView(View):
+    """A view whose map no column expresses: ``function`` takes a document as a dict and yields (key, value) pairs.
+
+    ``key`` and ``value`` are types; a key type of several fields is ``k0 type, k1 type`` and takes tuples. Documents for which the
+    function fails emit nothing. Only ``columns`` of the documents are sent to Python, in Arrow batches.
+    """
+
+    emits: Sequence[Emit] = ()
+    function: Callable[[dict], object] | None = None
+    key: str = "k0 string"
+    value: str = "string"
+    columns: Sequence[str] = ()
+
+    def rows(self, collection: Collection) -> DataFrame:
+        import pandas as pd
+
+        docs = collection.live().docs.select("_id", *self.columns)
+        function, n = self.function, len(self.key.split(","))
+        names = ["id", *[f"k{i}" for i in range(n)], "value"]
+
+        def run(frames):
+            for frame in frames:
+                out = []
+                for doc in frame.to_dict("records"):
+                    try:
+                        pairs = list(function(doc))
+                    except Exception:  # the document is not the view's
+                        continue
+                    out.extend((doc["_id"], *(k if n > 1 else (k,)), v) for k, v in pairs)
+                yield pd.DataFrame(out, columns=names)
+
+        return docs.mapInPandas(run, f"id string, {self.key}, value {self.value}")
+
+
 def _bound(v):
     return None if v == (None,) else v
 

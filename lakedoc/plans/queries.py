@@ -12,7 +12,7 @@ from ..operators import revisions as R
 from ..operators.collection import Collection
 from ..operators.registry import IndexRegistry, database_updates, databases
 from ..operators.search import Everything, IndexField, NumberRange, Phrase, SearchIndex, Term, Wildcard
-from ..operators.views import Emit, GroupedReduce, View, all_levels
+from ..operators.views import Emit, GroupedReduce, PythonView, View, all_levels
 from ..streaming.changes import Feed, by_ids, by_selector
 from ..streaming.replicate import common_checkpoint, replicate
 
@@ -414,6 +414,26 @@ def view_time_windows(spark, d):
     return rows.groupBy("start", "k0").agg(F.count(F.lit(1)).alias("value"), F.round(F.sum("value"), 3).alias("total"))
 
 
+def _initials(doc):
+    first, *rest = doc["p_name"].split(" ")
+    yield (first[0], len(rest)), doc["p_size"]
+
+
+@query("SELECT p_name[1] AS k0, len(string_split(p_name, ' ')) - 1 AS k1, sum(p_size)::BIGINT AS value FROM part GROUP BY ALL")
+def view_python_map(spark, d):
+    view = PythonView(reduce="_sum", function=_initials, key="k0 string, k1 long", value="long", columns=["p_name", "p_size"])
+    return view.query(of(spark, d, "part"), group=True, limit=None)
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS docs_examined, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS results_returned")
+def find_stats(spark, d):
+    from pyspark.sql import Observation
+
+    seen = Observation("find")
+    n = of(spark, d, "orders").find({"o_orderstatus": "P"}, limit=None, stats=seen).count()
+    return spark.createDataFrame([(seen.get["docs_examined"], n)], "docs_examined long, results_returned long")
+
+
 # -- revisions -----------------------------------------------------------------------------
 
 

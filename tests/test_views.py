@@ -146,3 +146,12 @@ def test_clashing_names(spark):
     c = Collection(spark.createDataFrame([("1", 5, "x", 7)], "_id string, value int, id string, k0 int"))
     assert rows(View([Emit(F.col("k0"), F.col("value"))]).query(c)) == [("1", 7, 5)]
     assert c.all_docs(include_docs=True).first().doc["id"] == "x"
+
+
+def test_python_maps_skip_documents_they_fail_on(spark):
+    from lakedoc.operators.views import PythonView
+
+    c = Collection(spark.createDataFrame([("1", "a b"), ("2", None), ("3", "b")], "_id string, t string"))
+    view = PythonView(function=lambda doc: ((w, 1) for w in doc["t"].split()), key="k0 string", value="int", columns=["t"], reduce="_sum")
+    assert rows(view.query(c, group=True)) == [("a", 1), ("b", 2)]
+    assert [r.id for r in view.query(c, reduce=False, key="b").collect()] == ["1", "3"]
