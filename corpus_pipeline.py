@@ -17,6 +17,7 @@ from lakedoc.llm.line_dedup import dedup_lines
 from lakedoc.llm.minhash import drop_near_duplicates
 from lakedoc.llm.mixing import labelled_quality, mix
 from lakedoc.llm.shared import spill
+from lakedoc.shipping import shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs, quality=quality).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mixing)]
+STAGES = [("language_id", shipped(language_id)), ("line_dedup", shipped(line_dedup)), ("near_dedup", shipped(near_dedup)), ("decontaminate", shipped(decontaminate)), ("mixing", shipped(mixing))]
 
 #: The first stage learns a model, so SQL can't give the rows; tests hold each stage against brute force.
 ORACLE_SQL = None
