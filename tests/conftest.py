@@ -19,6 +19,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from lakedoc.shipping import ship
+
+    ship(s)
     yield s
     s.stop()
 
