@@ -12,10 +12,18 @@ STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or
 _TOKEN = r"([\p{L}\p{N}]+)"
 
 
+def folded(text: Column) -> Column:
+    return F.lower(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def all_tokens(text: Column) -> Column:
+    """Lower-case words in order, stop words too; an empty array for null."""
+    return F.regexp_extract_all(folded(text), F.lit(_TOKEN), F.lit(1))
+
+
 def tokens(text: Column) -> Column:
-    """Analysed words in order; an empty array for null."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(_TOKEN), F.lit(1))
-    return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
+    """Analysed words in order."""
+    return F.filter(all_tokens(text), lambda t: ~t.isin(STOP_WORDS))
 
 
 def analyse(text: str) -> list[str]:

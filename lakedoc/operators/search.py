@@ -8,14 +8,16 @@ over analysed token arrays, so a search is a scan with a filter, or, on an index
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import analyse, highlight, tokens, wildcard_pattern
+from ..functions.text import all_tokens, analyse, folded, highlight, tokens, wildcard_pattern
 from .collection import Collection
 
 DEFAULT_LIMIT, FACET_TERMS = 25, 1000
@@ -57,8 +59,12 @@ class Term(Query):
     field: str | None = None
 
     def condition(self, index: SearchIndex) -> Column:
-        found = analyse(self.text)
-        return F.arrays_overlap(index.tokens(self.field), F.array(*map(F.lit, found))) if found else F.lit(False)
+        found = list(dict.fromkeys(analyse(self.text)))
+        if not found:
+            return F.lit(False)
+        # a word's tokens need cutting only where its letters stand at all; stop words are in no query, so all tokens do
+        parts = [index.has_letters(self.field, w) & F.array_contains(index.tokens(self.field, all_tokens), w) for w in found]
+        return reduce(or_, parts)
 
     def words(self) -> list[tuple[str | None, str]]:
         return [(self.field, w) for w in analyse(self.text)]
@@ -73,8 +79,10 @@ class Phrase(Query):
 
     def condition(self, index: SearchIndex) -> Column:
         found = analyse(self.text)
+        if not found:
+            return F.lit(False)
         joined = F.concat(F.lit(" "), F.array_join(index.tokens(self.field), " "), F.lit(" "))
-        return joined.contains(f" {' '.join(found)} ") if found else F.lit(False)
+        return reduce(and_, [index.has_letters(self.field, w) for w in found]) & joined.contains(f" {' '.join(found)} ")
 
     def words(self) -> list[tuple[str | None, str]]:
         return [(self.field, w) for w in analyse(self.text)]
@@ -151,10 +159,15 @@ class SearchIndex:
     fields: dict[str, IndexField]
     id_col: str = "_id"
 
-    def tokens(self, field: str | None) -> Column:
-        if field is not None:
-            return tokens(self.fields[field].column)
-        return F.flatten(F.array(*[tokens(f.column) for f in self.fields.values() if f.kind == "text"]))
+    def text_columns(self, field: str | None) -> list[Column]:
+        return [self.fields[field].column] if field is not None else [f.column for f in self.fields.values() if f.kind == "text"]
+
+    def tokens(self, field: str | None, cut: Callable[[Column], Column] = tokens) -> Column:
+        parts = [cut(c) for c in self.text_columns(field)]
+        return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
+
+    def has_letters(self, field: str | None, word: str) -> Column:
+        return reduce(or_, [folded(c).contains(word) for c in self.text_columns(field)])
 
     def hits(self, query: Query, drilldown: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
         """Documents that match; each drill-down keeps those whose field has one of its values."""
@@ -174,9 +187,9 @@ class SearchIndex:
         parts = []
         for k, (f, w) in enumerate(words):
             idf = math.log(1 + (total["n"] - total[f"n{k}"] + 0.5) / (total[f"n{k}"] + 0.5))
-            all_tokens = self.tokens(f)
-            tf = F.size(F.filter(all_tokens, _is(w)))
-            parts.append(F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size(all_tokens) / F.lit(max(total[f"s{k}"] or 1.0, 1e-9)))))
+            found = self.tokens(f)
+            tf = F.size(F.filter(found, _is(w)))
+            parts.append(F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size(found) / F.lit(max(total[f"s{k}"] or 1.0, 1e-9)))))
         return hits.withColumn("score", sum(parts[1:], parts[0]))
 
     def _order(self, sort: Sequence[str]) -> list[Column]:
