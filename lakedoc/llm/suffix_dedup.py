@@ -151,49 +151,60 @@ class Shard:
     def __init__(self, bwt: bytes, lengths: np.ndarray):
         self.bwt = np.frombuffer(bwt, np.uint8)
         order = np.argsort(self.bwt, kind="stable")
-        self.lf = np.empty(len(self.bwt), np.int64)
-        self.lf[order] = np.arange(len(self.bwt))
-        self.text = np.empty(len(self.bwt), np.int64)
-        self.at = np.empty(len(self.bwt), np.int64)
+        n = len(self.bwt)
+        self.lf = np.empty(n, np.int32)
+        self.lf[order] = np.arange(n, dtype=np.int32)
+        self.text = np.empty(n, np.int32)
+        self.at = np.empty(n, np.int32)
         # row k of the first rows is the end of text k, as ends are equal and ordered by position
-        row, left, who = np.arange(len(lengths)), lengths.copy(), np.arange(len(lengths))
+        row, left, who = np.arange(len(lengths), dtype=np.int32), lengths.astype(np.int32), np.arange(len(lengths), dtype=np.int32)
         while len(row):
             self.text[row], self.at[row] = who, left
-            on = left > 0
-            row, left, who = self.lf[row[on]], left[on] - 1, who[on]
+            row, left = self.lf[row], left - 1
+            if left.min() < 0:
+                on = left >= 0
+                row, left, who = row[on], left[on], who[on]
 
 
 def repeated(shards: list[Shard], weights: list[np.ndarray], alone: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, text and position of every window in an interval of two or more occurrences.
+    """Shard, text and position of every window in an interval of two or more occurrences; ``length`` is even.
 
     ``weights``: how often each text stands in the corpus. ``alone``: texts that share their name with no other, whose
-    windows repeat just as often as they do and are left out of the merge.
+    windows repeat just as often as they do and are left out of the merge. Symbols are prepended by pairs, which halves the rounds.
     """
     base = np.cumsum([0] + [len(s.bwt) for s in shards])
     bwt = np.concatenate([s.bwt for s in shards])
-    lf = np.concatenate([s.lf + b for s, b in zip(shards, base, strict=False)])
+    lf = np.concatenate([s.lf + np.int32(b) for s, b in zip(shards, base, strict=False)])
     n_text = np.cumsum([0] + [len(w) for w in weights])
-    text = np.concatenate([s.text + k for s, k in zip(shards, n_text, strict=False)])
+    text = np.concatenate([s.text + np.int32(k) for s, k in zip(shards, n_text, strict=False)])
     at = np.concatenate([s.at for s in shards])
     weight = np.concatenate(weights)
-    rows = np.flatnonzero(~np.concatenate(alone)[text])
+    pair = bwt[lf].astype(np.uint16) * np.uint16(256) + bwt
+    pair[(bwt == 0) | (bwt[lf] == 0)] = 0  # the text begins before that
+    lf2 = lf[lf]
+    light = weight < 2
+    rows = np.flatnonzero(~np.concatenate(alone)[text] & (at >= length)).astype(np.int32)  # ends of windows; others would run out of text
+    interval = np.zeros(len(rows), np.int32)
     start = np.zeros(len(rows), bool)
     start[:1] = True
-    for _ in range(length):
-        symbol = bwt[rows]
-        interval = np.cumsum(start)
-        on = np.flatnonzero(symbol)
-        on = on[np.argsort(symbol[on], kind="stable")]
-        symbol, interval, rows = symbol[on], interval[on], lf[rows[on]]
+    for step in range(length // 2):
+        symbol = pair[rows]
+        on = np.argsort(symbol, kind="stable")
+        on = on[np.searchsorted(symbol[on], 1) :]
+        symbol, interval, rows = symbol[on], interval[on], lf2[rows[on]]
         start = np.ones(len(rows), bool)
         start[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        single = start & np.concatenate([start[1:], [True]])
-        if single.any():
-            settled = single & (weight[text[rows]] < 2)  # a text that stands twice repeats by itself
-            if settled.any():
-                rows, start = rows[~settled], start[~settled]
-    size = np.diff(np.concatenate([np.flatnonzero(start), [len(rows)]]))
-    heavy = np.add.reduceat(weight[text[rows]], np.flatnonzero(start)) if len(rows) else size
+        if step % 4 == 3 or step < 4:
+            single = np.flatnonzero(start & np.concatenate([start[1:], [True]]))
+            settled = single[light[text[rows[single]]]]  # a text that stands twice repeats by itself
+            if len(settled):
+                kept = np.ones(len(rows), bool)
+                kept[settled] = False
+                rows, start = rows[kept], start[kept]
+        interval = np.cumsum(start, dtype=np.int32)
+    first = np.flatnonzero(start)
+    size = np.diff(np.concatenate([first, [len(rows)]]))
+    heavy = np.add.reduceat(weight[text[rows]], first) if len(rows) else size
     rows = rows[np.repeat(heavy >= 2, size)]
     shard = np.searchsorted(n_text, text[rows], "right") - 1
     return shard, text[rows] - n_text[shard], at[rows]
@@ -282,8 +293,13 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(merged, kind), pa.array(left, pa.string())], names=["row", "n_removed", "spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 200, gram: int = 32, hot: int = 50_000, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: its id, n_bytes, n_removed, spans (merged, in bytes, end excluded) and kept_sha256."""
+def repeated_spans(docs: DataFrame, *, length: int = 200, gram: int = 32, hot: int = 50_000, bucket_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row of ``docs``: its id, n_bytes, n_removed, spans (merged, in bytes, end excluded) and kept_sha256.
+
+    ``docs`` is read more than once and must give its rows in the same order each time, as a table at rest or a spilled result does.
+    """
+    if length % 2:
+        raise ValueError("length is even")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = rows.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     long = rows.select("row", "text").where(F.octet_length("text") >= length)
@@ -295,8 +311,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, gram: int = 32, hot: i
     uses = spill(held.mapInArrow(_texts(length, max(gram, length - 16)), "digest binary, name long, row long, first int, text binary"), "uses")
 
     texts = uses.groupBy("digest").agg(F.first("name").alias("name"), F.first("text", ignorenulls=True).alias("text"), F.count(F.lit(1)).alias("weight"))
-    texts = spill(texts, "texts")
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    total = uses.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_bytes))
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(SHARDS)).cast("int"))
     parts = texts.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "digest").mapInArrow(_transforms, "bucket int, shard int, bwt binary, lengths array<int>, digests array<binary>, names array<long>, weights array<long>")
