@@ -16,14 +16,14 @@ def folded(text: Column) -> Column:
     return F.lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def all_tokens(text: Column) -> Column:
-    """Lower-case words in order, stop words too; an empty array for null."""
-    return F.regexp_extract_all(folded(text), F.lit(_TOKEN), F.lit(1))
+def tokens(text: Column) -> Column:
+    """Analysed words in order; an empty array for null."""
+    return F.filter(F.regexp_extract_all(folded(text), F.lit(_TOKEN), F.lit(1)), lambda t: ~t.isin(STOP_WORDS))
 
 
-def tokens(text: Column) -> Column:
-    """Analysed words in order."""
-    return F.filter(all_tokens(text), lambda t: ~t.isin(STOP_WORDS))
+def whole_words(words: list[str]) -> str:
+    """A pattern that finds any of the analysed words as a token."""
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])"
 
 
 def analyse(text: str) -> list[str]:

@@ -8,7 +8,7 @@ over analysed token arrays, so a search is a scan with a filter, or, on an index
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import all_tokens, analyse, folded, highlight, tokens, wildcard_pattern
+from ..functions.text import analyse, folded, highlight, tokens, whole_words, wildcard_pattern
 from .collection import Collection
 
 DEFAULT_LIMIT, FACET_TERMS = 25, 1000
@@ -62,9 +62,8 @@ class Term(Query):
         found = list(dict.fromkeys(analyse(self.text)))
         if not found:
             return F.lit(False)
-        # a word's tokens need cutting only where its letters stand at all; stop words are in no query, so all tokens do
-        parts = [index.has_letters(self.field, w) & F.array_contains(index.tokens(self.field, all_tokens), w) for w in found]
-        return reduce(or_, parts)
+        # whole words need looking for only where their letters stand at all
+        return reduce(or_, [index.has_letters(self.field, w) for w in found]) & reduce(or_, [folded(c).rlike(whole_words(found)) for c in index.text_columns(self.field)])
 
     def words(self) -> list[tuple[str | None, str]]:
         return [(self.field, w) for w in analyse(self.text)]
@@ -162,8 +161,8 @@ class SearchIndex:
     def text_columns(self, field: str | None) -> list[Column]:
         return [self.fields[field].column] if field is not None else [f.column for f in self.fields.values() if f.kind == "text"]
 
-    def tokens(self, field: str | None, cut: Callable[[Column], Column] = tokens) -> Column:
-        parts = [cut(c) for c in self.text_columns(field)]
+    def tokens(self, field: str | None) -> Column:
+        parts = [tokens(c) for c in self.text_columns(field)]
         return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
 
     def has_letters(self, field: str | None, word: str) -> Column:

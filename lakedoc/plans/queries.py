@@ -481,10 +481,19 @@ def _chains(spark, d) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     one = F.concat_ws("-", F.row_number().over(w).cast("string"), F.md5(F.col("event_id").cast("string")))
     e = e.withColumn("_rev", one)
-    history = F.reverse(F.collect_list("_rev").over(w.rowsBetween(1 - R.REVS_LIMIT, 0)))
+    history = F.reverse(F.collect_list("_rev").over(w.rowsBetween(-20, 0)))
     return e.select(F.col("user_id").cast("string").alias("_id"), "_rev", history.alias("_rev_history"), "value", F.col("event_id").alias("_seq"))
 
 
+def _leaves(spark, d, before: int | None = None) -> DataFrame:
+    """The leaf of each user's line of revisions, with its history: what a replica holds."""
+    e = table(spark, d, "events")
+    e = e if before is None else e.where(F.col("event_id") < before)
+    held = e.groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"), F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("_seq"))
+    history = F.reverse(F.transform("ids", lambda x, i: F.concat_ws("-", (i + 1).cast("string"), F.md5(x.cast("string")))))
+    return held.select(F.col("user_id").cast("string").alias("_id"), history[0].alias("_rev"), F.slice(history, 1, R.REVS_LIMIT).alias("_rev_history"), "value", "_seq")
+
+
 @query("SELECT user_id::VARCHAR AS _id, count(*) || '-' || md5(max(event_id)::VARCHAR) AS _rev FROM events GROUP BY user_id")
 def rev_leaves(spark, d):
     return R.leaves_of(_chains(spark, d)).select("_id", "_rev")
@@ -492,7 +501,7 @@ def rev_leaves(spark, d):
 
 @query("SELECT user_id::VARCHAR AS _id, count(*)::INT AS start, least(count(*), 5)::INT AS n FROM events GROUP BY user_id")
 def rev_history_field(spark, d):
-    done = R.compact(R.leaves_of(_chains(spark, d)), 5)
+    done = R.compact(_leaves(spark, d), 5)
     return done.select("_id", R.revisions_field().alias("r")).select("_id", "r.start", F.size("r.ids").alias("n"))
 
 
@@ -508,7 +517,7 @@ def rev_open(spark, d):
     SELECT id AS _id, CASE WHEN given IS NOT DISTINCT FROM rev THEN 'ok' ELSE 'conflict' END AS status, CASE WHEN given IS NOT DISTINCT FROM rev THEN g + 1 END::INT AS generation FROM inc"""
 )
 def bulk_docs(spark, d):
-    current = R.leaves_of(_chains(spark, d)).drop("_seq")
+    current = _leaves(spark, d).drop("_seq")
     third = F.col("_id").cast("long") % 3
     incoming = current.select("_id", F.when(third == 0, F.col("_rev")).when(third == 1, "1-stale").alias("_rev"), F.lit(1.0).alias("value"))
     incoming = incoming.unionByName(spark.createDataFrame([("new", None, 2.0)], "_id string, _rev string, value double")).withColumn("pos", F.lit(0))
@@ -566,9 +575,7 @@ def changes_include_docs(spark, d):
 
 @query("SELECT user_id::VARCHAR AS _id, count(*) || '-' || md5(max(event_id)::VARCHAR) AS _rev FROM events GROUP BY user_id")
 def replicate_one_shot(spark, d):
-    source = _chains(spark, d)
-    target = R.leaves_of(source.where("_seq < 4000"))
-    return replicate(R.leaves_of(source), target).select("_id", "_rev")
+    return replicate(_leaves(spark, d), _leaves(spark, d, before=4000)).select("_id", "_rev")
 
 
 @query("SELECT 70::BIGINT AS since")
