@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
@@ -44,9 +46,9 @@ def boilerplate(docs: DataFrame, *, min_sites: int, min_chars: int, text_col: st
 
 def dedup_lines(docs: DataFrame, *, min_sites: int = 4, min_chars: int = 15, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines out of ``text_col``, and new columns ``n_lines`` and ``n_removed_lines``."""
-    common = boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text_col=text_col, site_col=site_col)
+    common = cut(boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text_col=text_col, site_col=site_col).select("line_key"))  # written, so that Spark may split a hot line in the join
     held = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(_judged(F.col(text_col), min_chars), _key))).alias("line_key"))
-    held = held.join(common.select("line_key"), "line_key", "left_semi").groupBy("_id").agg(F.collect_set("line_key").alias("_bad"))
+    held = held.join(common, "line_key", "left_semi").groupBy("_id").agg(F.collect_set("line_key").alias("_bad"))
     both = docs.join(held, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~((F.length(F.trim(x)) >= min_chars) & F.array_contains("_bad", _key(x)))))
