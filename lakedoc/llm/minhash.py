@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_summaries(width), "doc_id long, n long, h1 long, h2 long, bands array<long>"))
     own = rows.where("n > 0 AND doc_id IS NOT NULL")
-    copies = own.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    copies = cut(own.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))  # written, so that its joins shuffle both sides and Spark may split a hot class
     member = cut(rows.join(copies, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
 
     keys = own.join(copies, ["n", "h1", "h2"], "left").where("rep IS NULL OR rep = doc_id").select("doc_id", F.explode("bands").alias("band"))
