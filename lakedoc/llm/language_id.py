@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", least_gap
     """``docs`` with lang_pred, lang_score and lang_ambiguous (those names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*kept).alias("row"))  # the text goes to Python once, within its row
     schema = rows.select("row").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", least_gap
         signs = model.codewords
         corrected = (min([int((a != b).sum()) for i, a in enumerate(signs) for b in signs[:i]] or [1]) - 1) // 2
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0).field(text_col)
             for block in blocks(texts, 1 << 18):
                 n_bits = signs.shape[1] if len(signs) else 1
                 sums, n = np.zeros((len(block), n_bits)), np.zeros(len(block))

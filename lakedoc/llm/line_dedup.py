@@ -37,7 +37,7 @@ def boilerplate(docs: DataFrame, *, min_sites: int, min_chars: int, text_col: st
     lines = docs.select(F.xxhash64(F.col(site_col)).alias("site"), F.explode(F.transform(_judged(F.col(text_col), min_chars), _key)).alias("line_key"))
     spread = lines.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log_k)).alias("sites"))
     slack = 5 * 1.04 / math.sqrt(2**log_k)
-    spread = spread.where(F.col("sites") >= math.floor(min_sites * (1 - slack)))
+    spread = cut(spread.where(F.col("sites") >= math.floor(min_sites * (1 - slack))))
     clear = spread.where(F.col("sites") > min_sites * (1 + slack))
     near = spread.where(F.col("sites") <= min_sites * (1 + slack)).select("line_key")
     exact = lines.join(near, "line_key", "left_semi").groupBy("line_key", "site").agg(F.lit(1).alias("one")).groupBy("line_key").agg(F.count(F.lit(1)).alias("sites"))

@@ -186,13 +186,17 @@ def fit(x: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight
     return Model(theta[:-4], theta[-4:].reshape(2, 2), mean, scale, prior)
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, text) to the label and packed features of each document."""
-    for batch in batches:
-        for block in blocks(batch.column(2)):
-            lines = lines_of(block)
-            packed = [lines.x[a:b].astype(np.float32).tobytes() for a, b in zip(lines.lo, lines.hi, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.row0, len(block)), pa.array(packed, pa.binary())], names=["label", "x"])
+def _line_rows(max_lines: int):
+    """(doc_id, label, text) to the label and packed features of each document's first lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                lines = lines_of(block)
+                packed = [lines.x[a : min(b, a + max_lines)].astype(np.float32).tobytes() for a, b in zip(lines.lo, lines.hi, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.row0, len(block)), pa.array(packed, pa.binary())], names=["label", "x"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000, max_lines: int = 100, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -201,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000, max_lines
     chosen = marked.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("at", F.xxhash64("doc_id"))
     picked = [chosen.where(F.col("label") == k).orderBy("at", "doc_id").limit(max_docs) for k in (0, 1)]
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "label", "text")
-    rows = [(r["label"], np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES)[:max_lines]) for r in sample.mapInArrow(_line_rows, "label int, x binary").toLocalIterator()]
+    rows = [(r["label"], np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES)) for r in sample.mapInArrow(_line_rows(max_lines), "label int, x binary").collect()]
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5)
