@@ -13,7 +13,8 @@ from ..operators.collection import Collection
 from ..operators.registry import IndexRegistry, database_updates, databases
 from ..operators.search import Everything, IndexField, NumberRange, Phrase, SearchIndex, Term, Wildcard
 from ..operators.views import Emit, GroupedReduce, PythonView, View, all_levels
-from ..streaming.changes import Feed, by_ids, by_selector
+from ..sources.documents import as_attachments, attachment_references
+from ..streaming.changes import Feed, by_condition, by_id_table, by_ids, by_selector, design_only, follow, new_folder
 from ..streaming.replicate import common_checkpoint, replicate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +183,33 @@ def find_nested_shorthand(spark, d):
     return c.find({"info": {"nation": {"$eq": 5}}}, limit=None).select("c_custkey")
 
 
+@query("SELECT event_id FROM events WHERE event_type >= 'p'")
+def find_key_map_match(spark, d):
+    c = Collection.from_table(table(spark, d, "events").withColumn("by_type", F.create_map("event_type", "value")), "events", ["event_id"])
+    return c.find({"by_type": {"$keyMapMatch": {"$gte": "p"}}}, limit=None).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey <= 40 AND o_orderstatus <> 'F' AND o_totalprice <= 250000")
+def find_ne_lte(spark, d):
+    return of(spark, d, "orders").find({"o_custkey": {"$lte": 40}, "o_orderstatus": {"$ne": "F"}, "o_totalprice": {"$lte": 250000}}, limit=None).select("o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_custkey LIMIT 25")
+def find_default_limit(spark, d):
+    return of(spark, d, "customer").find({"c_mktsegment": "MACHINERY"}, fields=["c_custkey", "c_name"], limit=0).drop("_id")
+
+
+@query("SELECT 'by_status' AS name, 25 AS limit_rows, true AS pushed UNION ALL SELECT '_all_docs', 10, true")
+def find_explain(spark, d):
+    """The chosen index of two selectors, and whether the condition reaches the Parquet scan."""
+    r = IndexRegistry()
+    r.create(["o_orderstatus"], name="by_status")
+    c = Collection.from_table(table(spark, d, "orders"), "orders", ["o_orderkey"])
+    c.indexes = r.indexes
+    found = [c.explain({"o_orderstatus": "F"}), c.explain({"o_totalprice": {"$gt": 5}}, limit=10)]
+    return spark.createDataFrame([(e["index"]["name"], e["limit"], "PushedFilters: [Is" in e["plan"]) for e in found], "name string, limit_rows int, pushed boolean")
+
+
 @query("SELECT '_all_docs' AS name, 'special' AS type UNION ALL SELECT 'by_status', 'json'")
 def index_registry(spark, d):
     r = IndexRegistry()
@@ -232,6 +260,11 @@ def _mixed(spark, d) -> Collection:
     return Collection(n.unionByName(s))
 
 
+@query("SELECT 'supplier:' || s_suppkey AS id FROM supplier WHERE 'supplier:' || s_suppkey >= 'supplier:5' ORDER BY 1 LIMIT 12")
+def partition_all_docs(spark, d):
+    return _mixed(spark, d).partition("supplier").all_docs(startkey="supplier:5", limit=12).select("id")
+
+
 @query("SELECT n_name AS name FROM nation WHERE n_regionkey >= 2")
 def partition_find(spark, d):
     return _mixed(spark, d).find({"number": {"$gte": 2}}, partition="nation", limit=None).select("name")
@@ -276,6 +309,19 @@ def _flags(value=None, reduce=None) -> View:
     return View([Emit([F.col("l_returnflag"), F.col("l_linestatus"), F.year("l_shipdate")], value)], reduce)
 
 
+@query("SELECT 1 AS part, 'nation:' || n_nationkey AS id FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 2, id FROM (SELECT 'nation:' || n_nationkey AS id FROM nation ORDER BY 1 DESC LIMIT 3)")
+def all_docs_queries(spark, d):
+    a, b = of(spark, d, "nation").queries([{"key": "nation:4"}, {"descending": True, "limit": 3}])
+    return a.select(F.lit(1).alias("part"), "id").unionByName(b.select(F.lit(2).alias("part"), "id"))
+
+
+@query("SELECT 'md5-' || to_base64(unhex(md5(n_comment))) AS digest, octet_length(encode(n_comment))::BIGINT AS length, count(*) AS refs FROM (SELECT left(c_mktsegment, 4) AS n_comment FROM customer) GROUP BY ALL")
+def attachments_by_digest(spark, d):
+    """Each content once, with how many documents attach it."""
+    rows = of(spark, d, "customer").docs.select("_id", F.lit("segment.txt").alias("name"), F.encode(F.left("c_mktsegment", F.lit(4)), "UTF-8").alias("content"))
+    return attachment_references(as_attachments(rows))
+
+
 @query("SELECT count(*) AS value FROM lineitem")
 def view_count_global(spark, d):
     return _flags(reduce="_count").query(of(spark, d, "lineitem"))
@@ -391,6 +437,17 @@ def view_custom_reduce(spark, d):
     return View([Emit(F.col("l_returnflag"), F.col("l_extendedprice"))], how).query(of(spark, d, "lineitem"), group=True)
 
 
+@query("SELECT 'orders:' || o_orderkey AS id, o_orderstatus AS k0, o_totalprice AS value FROM orders WHERE o_orderstatus >= 'O' ORDER BY k0, id LIMIT 100 OFFSET 30")
+def view_default_page(spark, d):
+    return View([Emit(F.col("o_orderstatus"), F.col("o_totalprice"))], "_count").query(of(spark, d, "orders"), startkey="O", reduce=False, skip=30)
+
+
+@query("SELECT round(sum(l_quantity), 2) AS sum, min(l_quantity) AS min, max(l_quantity) AS max, count(*) AS count, round(sum(l_quantity * l_quantity), 2) AS sumsqr FROM lineitem")
+def view_stats_global(spark, d):
+    out = View([Emit(F.col("l_returnflag"), F.col("l_quantity"))], "_stats").query(of(spark, d, "lineitem"))
+    return out.withColumn("sum", F.round("sum", 2)).withColumn("sumsqr", F.round("sumsqr", 2))
+
+
 @query("SELECT l_returnflag AS k0, l_linestatus AS k1, year(l_shipdate)::INT AS k2, count(*) AS value FROM lineitem GROUP BY ROLLUP (1, 2, 3)")
 def view_all_levels(spark, d):
     return all_levels(_flags(), of(spark, d, "lineitem")).drop("gid")
@@ -525,6 +582,53 @@ def bulk_docs(spark, d):
     return out.select("_id", "status", F.when(F.col("new_rev").isNotNull(), R.generation("new_rev")).alias("generation"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'forbidden' ELSE 'ok' END AS status FROM customer")
+def bulk_docs_validated(spark, d):
+    """New documents, those of them written that a rule accepts."""
+    incoming = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.lit(None).cast("string").alias("_rev"), F.lit(0).alias("pos"), "c_custkey", "c_acctbal")
+    current = spark.createDataFrame([], "_id string, _rev string, _rev_history array<string>")
+    return R.bulk_docs(current, incoming, R.first_failure([(F.col("c_acctbal") >= 0, "negative balance")])).select("c_custkey", "status")
+
+
+_CUR = "cur AS (SELECT user_id::VARCHAR AS id, count(*) AS g, count(*) || '-' || md5(max(event_id)::VARCHAR) AS rev, arg_max(value, event_id) AS v FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {_CUR} SELECT id AS _id, CASE WHEN id::BIGINT % 3 = 0 THEN g + 1 ELSE g END::INT AS generation, id::BIGINT % 3 = 0 AND id::BIGINT % 2 = 0 AS gone, CASE WHEN id::BIGINT % 3 = 0 THEN -1.0::DOUBLE ELSE v END AS value FROM cur")
+def write_and_delete(spark, d):
+    """A third of the documents is written anew, every second of those as a tombstone; each id keeps one leaf."""
+    current = _leaves(spark, d).drop("_seq").withColumn("_deleted", F.lit(False))
+    n = F.col("_id").cast("long")
+    incoming = current.where(n % 3 == 0).select("_id", "_rev", F.lit(0).alias("pos"), (n % 2 == 0).alias("_deleted"), F.lit(-1.0).alias("value"))
+    return R.apply_writes(current, R.bulk_docs(current, incoming)).select("_id", R.generation("_rev").alias("generation"), F.col("_deleted").alias("gone"), "value")
+
+
+@query(f"WITH {_CUR} SELECT id AS _id, count(*) AS leaves, max(rev) AS winner FROM (SELECT id, rev FROM cur UNION ALL SELECT id, '1-0' FROM cur WHERE id::BIGINT % 4 = 0) GROUP BY id")
+def write_given_revisions(spark, d):
+    """Revisions as they come from a replica: a branch of its own stays a leaf beside the winner."""
+    ours = _leaves(spark, d).drop("_seq")
+    theirs = ours.where(F.col("_id").cast("long") % 4 == 0).withColumn("_rev", F.lit("1-0")).withColumn("_rev_history", F.array(F.lit("1-0")))
+    merged = R.merge_revisions(ours, theirs.unionByName(ours))
+    return merged.groupBy("_id").agg(F.count(F.lit(1)).alias("leaves"), F.max_by("_rev", R.rank()).alias("winner"))
+
+
+@query(f"WITH {_CUR} SELECT id AS _id, rev AS _rev FROM cur WHERE v < 20")
+def purge_revisions(spark, d):
+    ours = _leaves(spark, d)
+    return R.purge(ours, ours.where("value >= 20")).select("_id", "_rev")
+
+
+@query("SELECT 'nation:copy' AS _id, n_name FROM nation WHERE n_nationkey = 6")
+def copy_document(spark, d):
+    return R.copy_document(of(spark, d, "nation").docs, "nation:6", "nation:copy").select("_id", "n_name")
+
+
+@query("SELECT user_id::VARCHAR AS _id, count(*)::INT AS n, true AS same FROM events GROUP BY user_id")
+def rev_history_decoded(spark, d):
+    """A history goes to ``{start, ids}`` and back."""
+    rows = _leaves(spark, d).withColumn("r", R.revisions_field())
+    return rows.select("_id", F.size("r.ids").alias("n"), (R.history_of(F.col("r.start"), F.col("r.ids")) == F.col("_rev_history")).alias("same"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'negative balance' WHEN c_nationkey > 20 THEN 'unknown nation' END AS error FROM customer")
 def validate_documents(spark, d):
     rules = [(F.col("c_acctbal") >= 0, "negative balance"), (F.col("c_nationkey") <= 20, "unknown nation")]
@@ -535,8 +639,11 @@ def validate_documents(spark, d):
 
 
 def _log(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("_seq"), F.col("user_id").cast("string").alias("_id"), F.concat_ws("-", F.lit("1"), F.md5(F.col("event_id").cast("string"))).alias("_rev"), (F.col("event_type") == "purchase").alias("_deleted"), "event_type", "value")
+    return _as_log(table(spark, d, "events"))
+
+
+def _as_log(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("_seq"), F.col("user_id").cast("string").alias("_id"), F.concat_ws("-", F.lit("1"), F.md5(F.col("event_id").cast("string"))).alias("_rev"), (F.col("event_type") == "purchase").alias("_deleted"), "event_type", "value")
 
 
 _LAST = "l AS (SELECT max(event_id) AS seq, user_id::VARCHAR AS id, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM events GROUP BY user_id)"
@@ -557,6 +664,35 @@ def changes_ids_descending(spark, d):
     return Feed(_log(spark, d), [by_ids(["1", "2", "3", "50"])]).changes(limit=3, descending=True).select("seq", "id")
 
 
+@query(f"WITH {_LAST} SELECT seq, id FROM l WHERE id::BIGINT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def changes_id_table(spark, d):
+    wanted = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("id"))
+    return Feed(_log(spark, d), [by_id_table(wanted)]).changes(limit=None).select("seq", "id")
+
+
+@query(f"WITH {_LAST} SELECT seq, id FROM l WHERE t IN ('click', 'view') AND v < 5")
+def changes_view_filter(spark, d):
+    """Documents for which a view's map emits a row."""
+    view = View([Emit(F.col("event_type"), when=F.col("event_type").isin("click", "view") & (F.col("value") < 5))])
+    return Feed(_log(spark, d), [by_condition(view.emits[0].when)]).changes(limit=None).select("seq", "id")
+
+
+@query("SELECT 3::BIGINT AS seq, '_design/v' AS id")
+def changes_design_only(spark, d):
+    log = spark.createDataFrame([(1, "_design/v", "1-a"), (2, "x", "1-b"), (3, "_design/v", "2-c")], "_seq long, _id string, _rev string")
+    return Feed(log, [design_only]).changes().select("seq", "id")
+
+
+@query(f"WITH {_LAST} SELECT seq, id, t = 'purchase' AS deleted FROM l")
+def changes_stream(spark, d):
+    """The feed as a stream that drains the log in micro-batches; what each delivers is appended to a table, whose latest rows are the feed."""
+    out, progress = (new_folder(spark, name) for name in ("changes", "progress"))
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
+    follow(_as_log(stream), lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"), progress).awaitTermination()
+    return Feed(spark.read.parquet(out)).changes(limit=None).drop("changes")
+
+
 @query(f"WITH {_LAST}, p AS (SELECT seq FROM l WHERE seq > 100 ORDER BY seq LIMIT 20) SELECT (SELECT max(seq) FROM p) AS last_seq, (SELECT count(*) FROM l WHERE seq > 100) - (SELECT count(*) FROM p) AS pending")
 def changes_pending(spark, d):
     return Feed(_log(spark, d)).pending(since=100, limit=20)
@@ -578,6 +714,13 @@ def replicate_one_shot(spark, d):
     return replicate(_leaves(spark, d), _leaves(spark, d, before=4000)).select("_id", "_rev")
 
 
+@query("SELECT user_id::VARCHAR AS _id, count(*) || '-' || md5(max(event_id)::VARCHAR) AS _rev FROM events WHERE user_id <= 50 OR event_id < 4000 GROUP BY user_id")
+def replicate_filtered(spark, d):
+    """Only documents of a selector are sent; the others stay as the target has them."""
+    wanted = lambda rows: rows.where(F.col("_id").cast("long") <= 50)
+    return replicate(_leaves(spark, d), _leaves(spark, d, before=4000), filters=[wanted]).select("_id", "_rev")
+
+
 @query("SELECT 70::BIGINT AS since")
 def replication_checkpoint(spark, d):
     ours = spark.createDataFrame([("s1", 40, 1), ("s2", 70, 2), ("s3", 90, 3)], "session_id string, last_seq long, at int")
@@ -625,6 +768,22 @@ def search_wildcard(spark, d):
     return _index(spark, d).hits(Wildcard("ret*ing", "text")).select("doc_id")
 
 
+@query(rf"WITH {_TOK} SELECT doc_id FROM t WHERE list_contains(w, 'de') OR lower(lang) = 'de' OR list_contains(regexp_extract_all(lower(source), '[\p{{L}}\p{{N}}]+'), 'de')")
+def search_all_fields(spark, d):
+    """A term without a field is looked for in all text fields."""
+    return _index(spark, d).hits(Term("de")).select("doc_id")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 25")
+def search_everything(spark, d):
+    return _index(spark, d).search(Everything(), sort=["n_chars"])
+
+
+@query(rf"WITH {_TOK} SELECT doc_id FROM t WHERE (list_contains(w, 'que') OR list_contains(w, 'und')) AND NOT (list_contains(w, 'die') AND n_chars < 2000)")
+def search_nested(spark, d):
+    return _index(spark, d).hits((Term("que", "text") | Term("und", "text")) & ~(Term("die", "text") & NumberRange("n_chars", high=2000))).select("doc_id")
+
+
 @query("SELECT doc_id FROM documents WHERE lang = 'de' AND n_chars >= 500 AND n_chars < 1500")
 def search_field_and_range(spark, d):
     return _index(spark, d).hits(Term("de", "lang") & NumberRange("n_chars", 500, 1500)).select("doc_id")

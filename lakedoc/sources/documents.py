@@ -33,7 +33,12 @@ def read_partition(spark: SparkSession, path: str, name: str) -> Collection:
 def read_attachments(spark: SparkSession, path: str) -> DataFrame:
     """Files as attachments: name, length, digest and content; only wanted columns are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.concat(F.lit("md5-"), F.base64(F.unhex(F.md5("content")))).alias("digest"), "content")
+    return as_attachments(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content"))
+
+
+def as_attachments(rows: DataFrame, content: str = "content") -> DataFrame:
+    """Rows with a binary content as attachments: ``length`` and ``digest`` come of the content; a null content has neither."""
+    return rows.withColumn("length", F.octet_length(content).cast("long")).withColumn("digest", F.concat(F.lit("md5-"), F.base64(F.unhex(F.md5(content)))))
 
 
 def attachment_references(attachments: DataFrame) -> DataFrame:

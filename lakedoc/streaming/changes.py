@@ -6,10 +6,12 @@ number; filters come before order and limit, and ``since`` is exclusive.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import Fields
@@ -94,6 +96,12 @@ def follow(log: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``), for a stream's progress or output; a local one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lakedoc-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def running_latest(log: DataFrame) -> DataFrame:
     """A streaming feed with state: in update mode, each id's row whenever its last event changes."""
     return latest(log)
