@@ -26,9 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand on four sources or more; ``n_chars`` follows the text."""
+    """Texts without lines that stand on four sources or more; ``n_chars`` follows the text.
+
+    A text whose copies alone stand on so many counts as one source, so that the next stage finds its text to keep.
+    """
     columns = docs.columns
-    found = dedup_lines(docs)
+    found = dedup_lines(docs, copies_once=True)
     return found.selectExpr(*["cast(coalesce(length(text), 0) as long) AS n_chars" if c == "n_chars" else f"`{c}`" for c in columns])
 
 

@@ -6,6 +6,9 @@ aggregation, so a line on a third of all pages still moves one sketch per task.
 far from the threshold decide at once; those within five standard errors of it are
 counted exactly. Boilerplate lines are then removed from every document.
 
+With ``copies_once``, a text whose copies alone stand on ``min_sites`` sites or more counts as one site (the
+smallest of them), as else every line of it would be boilerplate and no copy would keep its text.
+
 Lines are the parts of a text between line feeds, compared without outer spaces; lines of
 fewer than ``min_chars`` characters (blank ones too) are never judged or removed.
 
@@ -32,9 +35,14 @@ def _judged(text: Column, min_chars: int) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) >= min_chars)
 
 
-def boilerplate(docs: DataFrame, *, min_sites: int, min_chars: int, text_col: str, site_col: str, log_k: int = 10) -> DataFrame:
+def boilerplate(docs: DataFrame, *, min_sites: int, min_chars: int, text_col: str, site_col: str, log_k: int = 10, copies_once: bool = False) -> DataFrame:
     """``line_key, sites``: the hash and the number of sites of each line on ``min_sites`` sites or more."""
-    lines = docs.select(F.xxhash64(F.col(site_col)).alias("site"), F.explode(F.transform(_judged(F.col(text_col), min_chars), _key)).alias("line_key"))
+    keys = docs.select(F.col(site_col).alias("site"), F.transform(_judged(F.col(text_col), min_chars), _key).alias("keys"), *[F.unhex(F.md5(F.col(text_col))).alias("whole")] * copies_once)
+    if copies_once:  # texts do not move, only the hashes of their lines
+        spread = keys.where(F.size("keys") > 0).groupBy("whole", "site").agg(F.lit(1).alias("one")).groupBy("whole").agg(F.count(F.lit(1)).alias("sites"), F.min("site").alias("rep"))
+        copied = cut(spread.where(F.col("sites") >= min_sites).select("whole", "rep"))  # written, so that Spark may split a hot text in the join
+        keys = keys.join(copied, "whole", "left").select(F.coalesce("rep", "site").alias("site"), "keys")
+    lines = keys.select(F.xxhash64("site").alias("site"), F.explode("keys").alias("line_key"))
     spread = lines.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log_k)).alias("sites"))
     slack = 5 * 1.04 / math.sqrt(2**log_k)
     spread = cut(spread.where(F.col("sites") >= math.floor(min_sites * (1 - slack))))
@@ -44,9 +52,9 @@ def boilerplate(docs: DataFrame, *, min_sites: int, min_chars: int, text_col: st
     return clear.unionByName(exact.where(F.col("sites") >= min_sites))
 
 
-def dedup_lines(docs: DataFrame, *, min_sites: int = 4, min_chars: int = 15, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_sites: int = 4, min_chars: int = 15, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines out of ``text_col``, and new columns ``n_lines`` and ``n_removed_lines``."""
-    common = cut(boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text_col=text_col, site_col=site_col).select("line_key"))  # written, so that Spark may split a hot line in the join
+    common = cut(boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text_col=text_col, site_col=site_col, copies_once=copies_once).select("line_key"))  # written, so that Spark may split a hot line in the join
     held = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(_judged(F.col(text_col), min_chars), _key))).alias("line_key"))
     held = held.join(common, "line_key", "left_semi").groupBy("_id").agg(F.collect_set("line_key").alias("_bad"))
     both = docs.join(held, F.col(id_col).eqNullSafe(F.col("_id")), "left")

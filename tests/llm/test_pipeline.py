@@ -76,3 +76,17 @@ def test_mix_meets_its_targets(steps):
 
 def test_run(spark):
     assert p.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_one_copy_of_a_text_on_many_sources_stays(spark):
+    said = [f"The {k}th sentence of a story that was reprinted in many papers." for k in range(40)]
+    rows = [(k, "\n".join(said), "en", f"s{k % 5}", 0) for k in range(10)]
+    rows += [(100 + k, f"All rights are reserved by us.\nPaper number {k} says something else of its own", "en", f"s{k}", 0) for k in range(4)]
+    rows += [(200, said[0] + "\nand a quotation of the story.", "en", "s9", 0), (201, None, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, docs, "").collect()}
+    assert all(after[k] == "\n".join(said) for k in range(10))
+    assert all(after[100 + k] == f"Paper number {k} says something else of its own" for k in range(4))
+    assert after[200] == rows[-2][1] and after[201] is None
+    kept = p.near_dedup(spark, p.spill(p.line_dedup(spark, docs, ""), "lines"), "").collect()
+    assert [r["doc_id"] for r in kept if r["text"] == "\n".join(said)] == [0]
