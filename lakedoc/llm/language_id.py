@@ -63,8 +63,8 @@ def ngram_buckets(block: Block) -> Iterator[np.ndarray]:
     for size in range(2, max(SIZES) + 1):
         k = size - 1
         h = h * np.uint32(0x01000193)
-        h[: n - k] ^= text[k:]
-        bad[: n - k + 1] |= double[k - 1 :]
+        h[: max(n - k, 0)] ^= text[k:]
+        bad[: max(n - k + 1, 0)] |= double[k - 1 :]
         if size in SIZES:
             bucket = ((h * np.uint32(0x9E3779B1) + np.uint32(size * 0x7F4A7C15 % 2**32)) >> np.uint32(16)).astype(np.int32)
             bucket[bad | (left < size)] = BUCKETS

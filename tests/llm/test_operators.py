@@ -141,6 +141,16 @@ def test_language_hard(spark):
     assert language_id.drop_unidentified(docs(spark)).columns == docs(spark).columns
 
 
+@pytest.mark.parametrize("text", ["a", "ab", "é", "abc"])
+def test_language_of_short_tables(spark, text):
+    two = docs(spark, [(1, "the cat sat on the mat", "en", "a"), (2, "über die Brücke", "de", "a")])
+    alone = docs(spark, [(3, text, "en", "a")]).coalesce(1)
+    model = language_id.train(two.union(alone))
+    assert [r["lang_pred"] in ("de", "en") for r in language_id.identify(alone, model).collect()] == [True]
+    among = language_id.identify(two.union(alone).coalesce(1), model).where("doc_id = 3").select("lang_pred", "lang_score").collect()
+    assert language_id.identify(alone, model).select("lang_pred", "lang_score").collect() == among
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 12, 30])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
