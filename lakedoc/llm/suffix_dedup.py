@@ -15,6 +15,8 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
    Intervals split where symbols or the intervals they came from differ; those of a single
    suffix are settled and leave. No suffix is sorted again. After ``length`` rounds the intervals that are left
    are the repeated strings, and the round in which an interval splits is its common prefix.
+   A name with more than ``NAME_BUCKETS`` buckets of distinct texts (one passage in many surroundings) is not merged: its
+   windows are counted whole, by digest and partial aggregation, so no task holds all texts of one name.
 4. Covered bytes return to the documents that hold the texts, and are merged to spans.
 
 Defined cases: null and empty texts have no bytes; a text shorter than ``length`` loses nothing; copies of a text
@@ -33,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import sort_suffixes
-from .shared import spill
+from .shared import cut, spill
 from .textblocks import _BASE, _BYTE_VALUE, Block, blocks, mix64, powers
 
 SHARDS = 4
+NAME_BUCKETS = 4
 SPANS = "array<struct<lo:int,hi:int>>"
 
 
@@ -268,6 +271,37 @@ def _merged(length: int) -> Callable:
     return run
 
 
+def _windows(length: int) -> Callable:
+    """(digest, weight, text) to a row per window of the text: (window, digest, at, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["window", "digest", "at", "weight"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for digest, weight, text in zip(*(batch.column(c).to_pylist() for c in ("digest", "weight", "text")), strict=True):
+                for at in range(len(text) - length + 1):
+                    held.append((hashlib.blake2b(text[at : at + length], digest_size=16).digest(), digest, at, weight))
+                    if len(held) >= 1 << 14:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _counted(texts: DataFrame, length: int) -> DataFrame:
+    """The covered bytes of each text, by counting its windows: (digest, spans)."""
+    windows = spill(texts, "heavy").mapInArrow(_windows(length), "window binary, digest binary, at int, weight long")
+    twice = cut(windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n >= 2").select("window"))  # written, so that Spark may split a hot window in the join
+    return windows.join(twice, "window", "left_semi").groupBy("digest").agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))).alias("spans"))
+
+
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, id, text, spans in any order) to the merged spans and the digest of what they leave."""
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -311,11 +345,19 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, gram: int = 32, hot: i
     uses = spill(held.mapInArrow(_texts(length, max(gram, length - 16)), "digest binary, name long, row long, first int, text binary"), "uses")
 
     texts = uses.groupBy("digest").agg(F.first("name").alias("name"), F.first("text", ignorenulls=True).alias("text"), F.count(F.lit(1)).alias("weight"))
-    total = uses.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    sizes = uses.where("text IS NOT NULL").groupBy("name").agg(F.sum(F.octet_length("text").cast("long")).alias("n"))
+    total, heavy = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") > NAME_BUCKETS * bucket_bytes, F.col("name")))).first()  # so at most total / (NAME_BUCKETS * bucket_bytes) names
+    counted = None
+    if heavy:
+        heavy = F.broadcast(docs.sparkSession.createDataFrame([(name,) for name in heavy], "name long"))
+        counted = _counted(texts.join(heavy, "name", "left_semi").select("digest", "weight", "text"), length)
+        texts = texts.join(heavy, "name", "left_anti")
     buckets = max(1, -(-total // bucket_bytes))
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(SHARDS)).cast("int"))
     parts = texts.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "digest").mapInArrow(_transforms, "bucket int, shard int, bwt binary, lengths array<int>, digests array<binary>, names array<long>, weights array<long>")
     found = spill(parts.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(_merged(length), f"digest binary, spans {SPANS}"), "found")
+    if counted is not None:
+        found = found.unionByName(counted)
 
     moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi")))
     of_row = uses.select("digest", "row", "first").join(found, "digest").groupBy("row").agg(F.flatten(F.collect_list(moved)).alias("spans"))

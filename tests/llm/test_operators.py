@@ -81,6 +81,39 @@ def test_repeated_spans_hard(spark):
     assert got == sorted(repeated_bytes(rows, 200), key=lambda r: (nkey(r[0]), r[1:]))
 
 
+def test_passage_in_many_surroundings_is_no_single_bucket(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    around = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage = around(230)
+    rows = [(k, around(60) + passage + around(60), "en", "a") for k in range(400)] + [(k, passage + around(30), "en", "a") for k in (900, 901)] + [(902, rows_end := around(250), "en", "a"), (903, rows_end, "en", "b")]
+    merged, folder = suffix_dedup._merged, str(tmp_path)
+
+    def watched(length):
+        run = merged(length)
+
+        def noted(batches):
+            import os
+            import uuid
+
+            for batch in batches:
+                for bucket, lengths in zip(batch.column("bucket").to_pylist(), batch.column("lengths").to_pylist(), strict=True):
+                    with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                        f.write(f"{bucket} {sum(lengths)}")
+                yield from run(iter([batch]))
+
+        return noted
+
+    monkeypatch.setattr(suffix_dedup, "_merged", watched)
+    found = suffix_dedup.repeated_spans(docs(spark, rows), hot=100, bucket_bytes=5_000)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in found.collect())
+    held = Counter()
+    for path in tmp_path.iterdir():
+        bucket, n = path.read_text().split()
+        held[bucket] += int(n)
+    assert got == sorted(repeated_bytes(rows, 200))
+    assert held and max(held.values()) <= 40_000
+
+
 # -- 3
 
 
