@@ -13,8 +13,9 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
    the empty prefix, where all suffixes are one interval, each round prepends one symbol by each
    shard's LF mapping, which interleaves the shards' suffixes in the order of prefixes one symbol longer.
    Intervals split where symbols or the intervals they came from differ; those of a single
-   suffix are settled and leave. No suffix is sorted again. After ``length`` rounds the intervals that are left
-   are the repeated strings, and the round in which an interval splits is its common prefix.
+   suffix are settled and leave. No suffix is sorted again. The suffixes of one interval have a common prefix of as many bytes
+   as symbols were prepended, so the intervals left after ``length`` of them are the repeated strings. Longer common prefixes
+   aren't needed, as overlapping windows add up to the whole repeat.
    A name with more than ``NAME_BUCKETS`` buckets of distinct texts (one passage in many surroundings) is not merged: its
    windows are counted whole, by digest and partial aggregation, so no task holds all texts of one name.
 4. Covered bytes return to the documents that hold the texts, and are merged to spans.
@@ -26,6 +27,7 @@ table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import sort_suffixes
-from .shared import cut, spill
+from .shared import cut, discard, spill
 from .textblocks import _BASE, _BYTE_VALUE, Block, blocks, mix64, powers
 
 SHARDS = 4
@@ -303,15 +305,15 @@ def _counted(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, id, text, spans in any order) to the merged spans and the digest of what they leave."""
+    """(id, text, spans in any order or null) to the merged spans and the digest of what they leave."""
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            removed, merged, left = [], [], []
+            sizes, removed, merged, left = [], [], [], []
             for text, spans in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
                 done: list[dict] = []
-                for s in sorted(spans, key=lambda s: s["lo"]):
+                for s in sorted(spans or (), key=lambda s: s["lo"]):
                     if done and s["lo"] <= done[-1]["hi"]:
                         done[-1]["hi"] = max(done[-1]["hi"], s["hi"])
                     else:
@@ -321,49 +323,53 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest.update(text[at : s["lo"]])
                     at = s["hi"]
                 digest.update(text[at:])
+                sizes.append(len(text))
                 removed.append(sum(s["hi"] - s["lo"] for s in done))
                 merged.append(done)
                 left.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(merged, kind), pa.array(left, pa.string())], names=["row", "n_removed", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, kind), pa.array(left, pa.string())], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 200, gram: int = 32, hot: int = 50_000, bucket_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: its id, n_bytes, n_removed, spans (merged, in bytes, end excluded) and kept_sha256.
 
-    ``docs`` is read more than once and must give its rows in the same order each time, as a table at rest or a spilled result does.
+    Rows are numbered once, in a written table that every later step reads, so a retried task sees the same numbers.
     """
     if length % 2:
         raise ValueError("length is even")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = rows.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = spill(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "rows")
     long = rows.select("row", "text").where(F.octet_length("text") >= length)
 
     runs = spill(long.mapInArrow(_runs(length, gram), "name long, row long, first int, last int, times int"), "runs")
     names = runs.groupBy("name").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("runs")).where("times >= 2").select("name", (F.col("runs") >= hot).alias("hot"))
-    listed = runs.select("name", "row", "first", "last").join(names, "name").groupBy("row").agg(F.collect_list(F.struct("name", "first", "last", "hot")).alias("runs"))
-    held = spill(long.join(listed, "row").select("row", "runs", "text"), "held")
-    uses = spill(held.mapInArrow(_texts(length, max(gram, length - 16)), "digest binary, name long, row long, first int, text binary"), "uses")
-
-    texts = uses.groupBy("digest").agg(F.first("name").alias("name"), F.first("text", ignorenulls=True).alias("text"), F.count(F.lit(1)).alias("weight"))
-    sizes = uses.where("text IS NOT NULL").groupBy("name").agg(F.sum(F.octet_length("text").cast("long")).alias("n"))
-    total, heavy = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") > NAME_BUCKETS * bucket_bytes, F.col("name")))).first()  # so at most total / (NAME_BUCKETS * bucket_bytes) names
-    counted = None
-    if heavy:
-        heavy = F.broadcast(docs.sparkSession.createDataFrame([(name,) for name in heavy], "name long"))
-        counted = _counted(texts.join(heavy, "name", "left_semi").select("digest", "weight", "text"), length)
-        texts = texts.join(heavy, "name", "left_anti")
+    listed = spill(runs.select("name", "row", "first", "last").join(names, "name").groupBy("row").agg(F.collect_list(F.struct("name", "first", "last", "hot")).alias("runs")), "listed")
+    discard(runs)
+    uses = spill(long.join(listed, "row").select("row", "runs", "text").mapInArrow(_texts(length, max(gram, length - 16)), "digest binary, name long, row long, first int, text binary"), "uses")
+    discard(listed)
+
+    sizes = cut(uses.where("text IS NOT NULL").groupBy("name").agg(F.sum(F.octet_length("text").cast("long")).alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = cut(sizes.where(F.col("n") > NAME_BUCKETS * bucket_bytes).select("name"))
+    found, merged = [], uses
+    if not heavy.isEmpty():
+        texts = uses.join(heavy, "name", "left_semi").groupBy("digest").agg(F.first("text", ignorenulls=True).alias("text"), F.count(F.lit(1)).alias("weight"))
+        found.append(_counted(texts.select("digest", "weight", "text"), length))
+        merged = uses.join(heavy, "name", "left_anti")
     buckets = max(1, -(-total // bucket_bytes))
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(SHARDS)).cast("int"))
-    parts = texts.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "digest").mapInArrow(_transforms, "bucket int, shard int, bwt binary, lengths array<int>, digests array<binary>, names array<long>, weights array<long>")
-    found = spill(parts.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(_merged(length), f"digest binary, spans {SPANS}"), "found")
-    if counted is not None:
-        found = found.unionByName(counted)
+    # how often a text stands is summed before it is dealt; of the text itself a task deals one copy
+    counts = merged.groupBy("digest", "name").agg(F.count(F.lit(1)).alias("weight")).withColumn("text", F.lit(None).cast("binary"))
+    dealt = counts.unionByName(merged.where("text IS NOT NULL").select("digest", "name", F.lit(0).cast("long").alias("weight"), "text"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(SHARDS)).cast("int")).repartition("bucket", "shard")
+    texts = dealt.groupBy("bucket", "shard", "digest").agg(F.first("name").alias("name"), F.first("text", ignorenulls=True).alias("text"), F.sum("weight").alias("weight"))  # within the partitions as they are
+    parts = texts.sortWithinPartitions("bucket", "shard", "digest").mapInArrow(_transforms, "bucket int, shard int, bwt binary, lengths array<int>, digests array<binary>, names array<long>, weights array<long>")
+    found.append(spill(parts.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(_merged(length), f"digest binary, spans {SPANS}"), "found"))
+    discard(sizes, heavy)
 
     moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi")))
-    of_row = uses.select("digest", "row", "first").join(found, "digest").groupBy("row").agg(F.flatten(F.collect_list(moved)).alias("spans"))
-    done = held.select("row", "text").join(of_row, "row").select("row", "text", "spans").mapInArrow(_covered, f"row long, n_removed long, spans {SPANS}, kept_sha256 string")
-    both = base.join(done, "row", "left")
-    return both.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    of_row = uses.select("digest", "row", "first").join(functools.reduce(DataFrame.unionByName, found), "digest").groupBy("row").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    done = rows.join(of_row, "row", "left").select("id", "text", "spans")
+    return done.mapInArrow(_covered, f"id {kind}, n_bytes long, n_removed long, spans {SPANS}, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
