@@ -6,14 +6,14 @@ a hash of its id, so reruns agree. Every document is taken as many whole times a
 source's target holds the whole source; the rest of the target is filled in order of the
 keys by a prefix sum, and the document in which it is reached gives its first words only.
 
-The prefix sum runs in two steps so that a source holding a third of all rows is no single
-task: keys fall into bins of about ``docs_per_bin`` documents, bins are summed, and only the
-sums of bins are windowed by source.
+All prefix sums, over documents and over sources, run in two steps: rows are dealt into ranges of the order, the
+ranges are summed, and sums within a range start from those of the ranges before. So neither a source
+holding a third of all rows nor a great number of sources is a single task.
 
 Defined cases: null or empty text has size 0 and gives 0; a null source is a source, ranked
-last; null or non-positive quality counts as 1; equal rows get the same key and are ordered
-arbitrarily among themselves, which changes no sum; an empty table gives an empty mix;
-other columns of ``docs`` are ignored.
+last; null or non-positive quality counts as 1; rows of one id are ordered by size and a hash of the text, so that
+only equal rows are interchangeable; rows without an id get their key from the text's hash; an empty table gives an empty mix;
+other columns of ``docs`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,33 +24,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut
+from .shared import discard, spill
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def uniform_of(key: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the key and the seed alone; null keys share one."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))
-    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+    """A number in (0, 1) that depends on the key and the seed alone."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+
+
+def with_sums_before(rows: DataFrame, sums: dict[str, str], order: Sequence[str], within: str | None = None) -> DataFrame:
+    """``rows`` with, by new name, the sum of a column over all rows before this one in the order (of the same ``within``). Nulls come last.
+
+    The ranges are written before they are used, as their limits come from a sample.
+    """
+    by = [within] if within else []
+    ranged = spill(rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in [*by, *order]]).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "range").agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    totals = totals.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("range").alias("range_of"), *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"{n}_start") for n in sums])
+    inside = Window.partitionBy(*by, "range").orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{n}_inside") for n, c in sums.items()])
+    same = F.col("range") == F.col("range_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    kept = [c for c in ranged.columns if c != "range"]
+    return rows.join(totals, same).select(*kept, *[(F.col(f"{n}_start") + F.col(f"{n}_inside")).alias(n) for n in sums])
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
-    """``source, n_docs, source_size`` to the same with ``target``. One row a source: its windows need no partitions."""
-    ranked = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (
-        sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(ranked) - 1) % len(weights) + 1).cast("int")))
-        .withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("level", (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
-        .withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
-        .select("source", "n_docs", "source_size", "target")
-    )
+    """``source, source_size`` to the same with ``target``."""
+    ranked = with_sums_before(sizes.withColumn("one", F.lit(1)), {"rank": "one"}, ["source"])
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    ranked = ranked.withColumn("cap", (F.col("source_size") * max_epochs).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight")).select("source", "source_size", "weight", "cap", "ratio")
+    filled = spill(with_sums_before(ranked, {"caps_before": "cap", "weights_before": "weight"}, ["ratio", "source"]), "targets")
+    total, mass = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.sum("weight")).first()
+    # the level at which all sources below their cap are filled, if those of lower ratio are at theirs
+    level = (F.lit(total) - F.col("caps_before")) / (F.lit(mass) - F.col("weights_before"))
+    found = filled.withColumn("level", level).agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level")))["level"]).first()[0]
+    return filled.select("source", "source_size", F.least("cap", F.col("weight") * found if found is not None else F.col("cap")).alias("target"))
 
 
 def mix(
@@ -60,7 +73,6 @@ def mix(
     weights: Sequence[float] = (5.0, 2.0, 1.0),
     max_epochs: int = 3,
     seed: str = "mix",
-    docs_per_bin: int = 2000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -69,26 +81,21 @@ def mix(
 
     ``quality``: at most one row for each doc_id with its sampling weight; without one, all weigh 1.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    text = F.col(text_col).cast("string")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
     if quality is not None:
-        sized = sized.join(quality.select(F.col("doc_id"), F.col("quality").cast("double").alias("quality")), "doc_id", "left")
+        sized = sized.join(quality.select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id", "left")
     else:
         sized = sized.withColumn("quality", F.lit(1.0))
-    sized = cut(
-        sized.withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)).withColumn("sample_key", -F.log(uniform_of(F.col("doc_id"), seed)) / F.col("quality"))
-    )
-    targets = source_targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), weights, max_epochs)
-    targets = targets.withColumn("bins", F.ceil(F.col("n_docs") / docs_per_bin))
-    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "bins")
-    rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("sample_key"))) * F.col("bins")), F.col("bins") - 1))
-
-    bins = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).withColumn("bin_start", F.coalesce(F.sum("bin_size").over(bins), F.lit(0)))
-    within = Window.partitionBy("source", "bin").orderBy("sample_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bin") == F.col("s.bin"))).select("r.*", "bin_start")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_hash").cast("string")))
+    sized = sized.withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)).withColumn("sample_key", -F.log(uniform_of(key, seed)) / F.col("quality"))
+    rows = spill(with_sums_before(sized, {"before": "size"}, ["sample_key", "doc_id", "size", "text_hash"], within="source"), "mix")
+    per_source = spill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    targets = spill(source_targets(per_source, weights, max_epochs), "targets")  # written, so that Spark may broadcast it by its size or split a hot source
+    discard(per_source)
+    rows = rows.join(targets.withColumnRenamed("source", "source_of"), F.col("source").eqNullSafe(F.col("source_of")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
-    rest = F.floor("target") - epochs * F.col("source_size") - F.col("bin_start") - F.col("before")
+    rest = F.floor("target") - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
     return rows.select("doc_id", "source", "size", "quality", "sample_key", "source_size", "target", taken.cast("long").alias("taken"))
 
