@@ -13,13 +13,15 @@ banded; with 40 bands of 6 a pair at the threshold of 0.8 is missed with probabi
    document is compared with all others at once, then each one outside the largest component, until
    every pair across components has been compared: exact components without all pairs.
 4. Clusters of several blocks: the typical documents of the blocks meet all blocks, and then all documents
-   outside the cluster's largest component do, in chunks, which completes the pairs.
+   outside the cluster's largest component do, in chunks, which completes the pairs. A block and a chunk give one
+   link for each document that they join to a smaller one, so links are as many as documents, not as pairs.
+
+Links are between rows, which are numbered once in a written table, so ids may be of any type that has an order.
 
 Defined cases: null or empty texts have empty sets and are linked with nothing; a text of fewer
 words than ``width`` is one shingle; repeated rows are copies of each other; rows with one id are
-one document with several texts, linked with what any of them is linked with; a null id is
-linked with nothing and gets no component; an empty table gives no rows; only the named
-columns are read.
+documents of their own; a row without an id takes part, and a component without any id has none; an empty table gives no
+rows; other columns have any names, and ``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, discard, spill
 from .textblocks import WHITE, blocks, mix64, shingle_hashes, word_hashes, words
 
 BANDS, ROWS = 40, 6
@@ -103,7 +105,7 @@ def _summaries(width: int) -> Callable:
                         keys[i] = row
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.row0, len(block)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "h1", "h2", "bands"],
+                    names=["row", "n", "h1", "h2", "bands"],
                 )
 
     return run
@@ -191,26 +193,33 @@ def _within(percent: int) -> Callable:
     return run
 
 
+def joined(reps: list[int], sets: list[np.ndarray], asked: list[tuple[int, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each document of a block and of its queries that is linked, with the least one it is joined to: never more links than documents."""
+    nodes = np.unique(np.array([*reps, *(rep for rep, _ in asked)], np.int64))
+    group = np.arange(len(nodes))
+    held, at = Sets(sets), np.searchsorted(nodes, np.array(reps))
+    for rep, query in asked:
+        met = np.append(at[held.linked(query, percent)], np.searchsorted(nodes, rep))
+        if len(both := np.unique(group[met])) > 1:
+            group[np.isin(group, both)] = both[0]
+    moved = np.flatnonzero(group != np.arange(len(nodes)))
+    return nodes[moved], nodes[group[moved]]
+
+
 def _across(percent: int) -> Callable:
     """Rows of one block and chunk of queries together, queries first, to links (a, b)."""
 
-    def links(reps, sets, asked) -> Iterator[tuple[int, int]]:
-        if not sets or not asked:
-            return
-        held = Sets(sets)
-        ids = np.array(reps)
-        for rep, query in asked:
-            for other in ids[held.linked(query, percent)]:
-                if other != rep:
-                    yield rep, int(other)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reps, sets, asked = None, [], [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if sets and asked:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined(reps, sets, asked, percent)], names=["a", "b"])
+
         for batch in batches:
             for cluster, block, chunk, query, rep, shingles in zip(*(batch.column(c).to_pylist() for c in ("cluster", "block", "chunk", "query", "rep", "shingles")), strict=True):
                 if (cluster, block, chunk) != key:
-                    if found := list(links(reps, sets, asked)):
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                    yield from flush()
                     key, reps, sets, asked = (cluster, block, chunk), [], [], []
                 s = np.frombuffer(shingles, np.uint64)
                 if query:
@@ -218,8 +227,7 @@ def _across(percent: int) -> Callable:
                 else:
                     reps.append(rep)
                     sets.append(s)
-        if found := list(links(reps, sets, asked)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        yield from flush()
 
     return run
 
@@ -232,56 +240,69 @@ def _meet(sets: DataFrame, queries: DataFrame, percent: int, block_bytes: int) -
     return asked.unionByName(held).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk", F.desc("query")).mapInArrow(_across(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (it is the component's smallest id) for each row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_summaries(width), "doc_id long, n long, h1 long, h2 long, bands array<long>"))
-    own = rows.where("n > 0 AND doc_id IS NOT NULL")
-    copies = cut(own.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))  # written, so that its joins shuffle both sides and Spark may split a hot class
-    member = cut(rows.join(copies, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-
-    keys = own.join(copies, ["n", "h1", "h2"], "left").where("rep IS NULL OR rep = doc_id").select("doc_id", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("band", "first")
-    stars = keys.join(buckets, "band").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    clusters = connected_components(stars).withColumnsRenamed({"node": "rep", "component": "cluster"})
-
-    sizes = member.where("n > 0").select("rep", "n").distinct()
-    clusters = clusters.join(sizes, "rep")
-    counted = clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("n_blocks"))
-    clusters = clusters.join(counted, "cluster").select("rep", "cluster", "n_blocks").distinct()
-    sets = clusters.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "cluster", "n_blocks", "text").mapInArrow(_sets(width), "rep long, cluster long, n_blocks int, shingles binary")
-    sets = sets.where(F.octet_length("shingles") > 0).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+def _components(rows: DataFrame, *, width: int, percent: int, block_bytes: int) -> DataFrame:
+    """(row, n, component) for written ``rows`` (row, text): the smallest row number that links lead to."""
+    sums = cut(rows.select("row", "text").mapInArrow(_summaries(width), "row long, n long, h1 long, h2 long, bands array<long>"))
+    own = sums.where("n > 0")
+    copies = cut(own.groupBy("n", "h1", "h2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))  # written, so that its joins shuffle both sides and Spark may split a hot class
+    member = cut(sums.join(copies, ["n", "h1", "h2"], "left").select("row", "n", F.coalesce("rep", "row").alias("rep")))
+
+    keys = own.join(copies, ["n", "h1", "h2"], "left").where("rep IS NULL OR rep = row").select("row", F.explode("bands").alias("band"))
+    buckets = cut(keys.groupBy("band").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select("band", "first"))  # written for the same reason: a group of near copies shares its bands
+    clusters = connected_components(keys.join(buckets, "band").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    discard(sums, copies, buckets)
+
+    clusters = clusters.join(member.where("row = rep").select("rep", "n"), "rep")
+    counted = cut(clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("n_blocks")))
+    clusters = clusters.join(counted, "cluster").select("rep", "cluster", "n_blocks")
+    sets = clusters.join(rows.select(F.col("row").alias("rep"), "text"), "rep").select("rep", "cluster", "n_blocks", "text").mapInArrow(_sets(width), "rep long, cluster long, n_blocks int, shingles binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     inner = cut(sets.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(percent), "rep long, cluster long, block int, grp long, pivot boolean"))
 
-    final = inner.groupBy("rep").agg(F.min("grp").alias("grp"), F.max("grp").alias("other"))
+    edges = inner.where("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b"))
     large = counted.where("n_blocks > 1").select("cluster")
     split = inner.join(large, "cluster", "left_semi")
-    edges = final.where("grp <> other").select(F.col("grp").alias("a"), F.col("other").alias("b"))
-    if not split.isEmpty():
+    if split.isEmpty():  # groups of whole clusters are components
+        labels = inner.select(F.col("rep").alias("node"), F.col("grp").alias("component"))
+    else:
         sets = cut(sets.join(large, "cluster", "left_semi"))
-        links = split.where("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b"))
-        pivots = split.where("pivot").select("rep", "cluster").distinct()
+        links = edges.join(split.select(F.col("rep").alias("a")), "a", "left_semi")
+        pivots = split.where("pivot").select("rep", "cluster")
         links = cut(links.unionByName(_meet(sets, sets.join(pivots, ["rep", "cluster"], "left_semi"), percent, block_bytes)).distinct())
-        so_far = split.select("rep", "cluster").distinct().join(connected_components(links), F.col("rep") == F.col("node"), "left").select("rep", "cluster", F.coalesce("component", "rep").alias("component"))
+        so_far = cut(split.select("rep", "cluster").join(connected_components(links), F.col("rep") == F.col("node"), "left").select("rep", "cluster", F.coalesce("component", "rep").alias("component")))
         largest = so_far.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("component"))
         outside = so_far.join(largest, ["cluster", "component"], "left_anti").select("rep", "cluster")
         links = links.unionByName(_meet(sets, sets.join(outside, ["rep", "cluster"], "left_semi"), percent, block_bytes))
-        edges = edges.unionByName(links)
-    edges = cut(edges)
-    if not edges.isEmpty():
-        edges = edges.unionByName(final.where("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
-        joined = connected_components(edges)
-    else:
-        joined = final.select(F.col("rep").alias("node"), F.col("grp").alias("component"))
-    found = member.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        labels = connected_components(edges.unionByName(links))
+    labels = cut(labels)
+    found = cut(member.join(labels, F.col("rep") == F.col("node"), "left").select("row", "n", F.coalesce("component", "rep").alias("component")))
+    discard(member, counted, inner, labels)
+    return found
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (it is the component's smallest id) and first (one row of each component) for each row of ``docs``."""
+    rows = spill(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
+    return _labelled(rows.select("row", "doc_id"), _components(rows, width=width, percent=percent, block_bytes=block_bytes)).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")
+
+
+def _labelled(ids: DataFrame, components: DataFrame) -> DataFrame:
+    """(row, doc_id) and (row, n, component) to row, doc_id, n, component_id (its smallest id) and first (the row with that id, or the least of several)."""
+    rows = cut(components.join(ids, "row"))
+    least = cut(rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first_row"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))  # written, so that Spark may split a hot component
+    both = rows.join(least, "component", "left")
+    return both.select("row", "doc_id", "n", F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("first"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component. Rows with one id go or stay together."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id (rows without an id come last)."""
+    rows = spill(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    field = lambda c: F.col("doc")[c]
+    found = _components(rows.select("row", field(text_col).cast("string").alias("text")), width=width, percent=percent, block_bytes=block_bytes)
+    gone = cut(_labelled(rows.select("row", field(id_col).alias("doc_id")), found).where("NOT first").select("row"))
+    discard(found)
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
