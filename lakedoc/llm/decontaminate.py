@@ -8,25 +8,28 @@ with counted blocks, and all phrases are searched backwards at once by its ranks
 located by walking to sampled suffix positions, become spans of words, and are merged.
 
 Test phrases are windows of ``width`` consecutive words of each item (a shorter, non-empty item is one
-window). They are broadcast in blocks of at most ``most_words`` words, so the broadcast is bounded
-whatever the benchmark holds; each block passes over all documents and the spans of all blocks
-are merged by document.
+window). They are broadcast in blocks of at most ``most_words`` words (or one longer item). Each block passes over all
+documents; its spans are written and its broadcast is destroyed before the next one is made, so one block is
+held at a time whatever the benchmark holds. The spans of all blocks are merged by document.
 
-Defined cases: null and empty texts have no words; items without words match nothing; repeated
-items and repeated rows each count for themselves; an empty benchmark hits nothing; only the
-named columns are read, so others may have any names.
+Defined cases: null and empty texts have no words; items without words match nothing; rows of one item_id are one item, and
+those without an id are the item ``null``; repeated rows of documents each count for themselves, whatever their ids; an empty
+benchmark hits nothing; other columns have any names, and ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .shared import cut
+from .shared import spill
 from .textblocks import NOT_ALNUM, Words, blocks, word_hashes, words
 
 SAMPLE = 16
@@ -237,7 +240,7 @@ def phrases_of(hashes: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.nda
 
 
 def numbers_of(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """1 + place in the sorted vocabulary, 0 for other words; a table over the upper bits narrows the search to a few steps."""
+    """1 + place in the sorted vocabulary, 0 for other words."""
     at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
     return np.where(vocabulary[at] == h, at + 1, 0)
 
@@ -259,23 +262,35 @@ def shard_of(number: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, most_words: int = 1 << 20, shard_words: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: its id, n_words, spans (merged, in words, end excluded) and items (ids as sorted strings)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {kind}, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).alias("row"))
+    found = _found(rows, benchmark, width=width, most_words=most_words, shard_words=shard_words, text_col="text", item_col=item_col, item_text_col=item_text_col, kept=["id"])
+    return found.select(F.col("row.id").alias(id_col), "n_words", "spans", "items")
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, *, width: int, most_words: int, shard_words: int, text_col: str, item_col: str, item_text_col: str, kept: list[str]) -> DataFrame:
+    """``row`` (its fields ``kept``), n_words, spans and items of each row of ``rows``, a column ``row`` with a text field."""
+    whole = rows.schema["row"].dataType
+    held = StructType([whole[c] for c in kept])
     span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
-    spark = docs.sparkSession
+    spark = rows.sparkSession
 
-    def scanner(bench):
+    def schema(row: StructType) -> StructType:
+        spans = ArrayType(StructType().add("lo", "long").add("hi", "long"))
+        return StructType().add("row", row).add("n_words", "long").add("spans", spans).add("items", ArrayType(StringType()))
+
+    def scanner(bench, kept: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = bench.value if bench is not None else None
             for batch in batches:
-                for block in blocks(batch.column(1), shard_words * 6):
+                row = batch.column(0)
+                carried = pa.StructArray.from_arrays([row.field(c) for c in kept], names=kept)
+                for block in blocks(row.field(text_col), shard_words * 6):
                     w = words(block, NOT_ALNUM)
                     spans, items = [[]] * len(block), [[]] * len(block)
                     if model is not None:
                         for d, (s, i) in scan(block, w, *model).items():
                             spans[d], items[d] = s, i
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.row0, len(block)), pa.array(w.hi - w.lo, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([carried.slice(block.row0, len(block)), pa.array(w.hi - w.lo, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
 
         return run
 
@@ -304,26 +319,26 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, most_w
             cuts = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
             merged = [{"lo": int(x), "hi": int(y)} for x, y in zip(begin[cuts], end[np.concatenate([cuts[1:] - 1, [b - a - 1]])], strict=True)]
             held = np.unique(np.concatenate([items_of[int(p)] for p in np.unique(which[a:b])]))
-            found[int(doc[a])] = (merged, sorted({str(ids[i]) for i in held}))
+            found[int(doc[a])] = (merged, sorted({"null" if ids[i] is None else str(ids[i]) for i in held}))
         return found
 
+    tests = benchmark_blocks(benchmark, most_words=most_words, id_col=item_col, text_col=item_text_col)
+    first, second = next(tests, None), next(tests, None)
+    send = lambda block: spark.sparkContext.broadcast((*phrases_of(block[0], block[1], width), block[2]))
+    if second is None:
+        return rows.mapInArrow(scanner(send(first) if first is not None else None, kept), schema(held))
+    # several blocks of a large benchmark: rows are numbered once, in a written table, and the spans of all blocks are merged natively
+    numbered = spill(rows.select(F.monotonically_increasing_id().alias("number"), "row"), "numbered")
+    texts = numbered.select(F.struct("number", F.col("row")[text_col].alias(text_col)).alias("row"))
     parts = []
-    for hashes, ends, ids in benchmark_blocks(benchmark, most_words=most_words, id_col=item_col, text_col=item_text_col):
-        parts.append(rows.mapInArrow(scanner(spark.sparkContext.broadcast((*phrases_of(hashes, ends, width), ids))), schema))
-    if len(parts) <= 1:
-        return (parts[0] if parts else rows.mapInArrow(scanner(None), schema)).withColumnRenamed("id", id_col)
-    # several blocks of a large benchmark: rows are told apart by number, spans of all blocks are merged natively
-    numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    rows = numbered.select(F.struct("row", "id").alias("id"), "text")
-    schema = schema.replace(f"id {kind}", f"id struct<row:long,id:{kind}>", 1)
-    parts = []
-    for hashes, ends, ids in benchmark_blocks(benchmark, most_words=most_words, id_col=item_col, text_col=item_text_col):
-        parts.append(rows.mapInArrow(scanner(spark.sparkContext.broadcast((*phrases_of(hashes, ends, width), ids))), schema))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select(F.col("id.id").alias(id_col), "n_words", merge_spans("spans").alias("spans"), "items")
+    for block in itertools.chain([first, second], tests):
+        bench = send(block)
+        parts.append(spill(texts.mapInArrow(scanner(bench, ["number"]), schema(StructType().add("number", "long"))).where(F.lit(not parts) | (F.size("spans") > 0)), "spans"))
+        bench.destroy()
+    both = functools.reduce(DataFrame.unionByName, parts).select("row.number", "n_words", "spans", "items")
+    merged = both.groupBy("number").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    carried = numbered.select("number", F.struct(*[F.col("row")[c].alias(c) for c in kept]).alias("row"))
+    return carried.join(merged, "number").select("row", "n_words", merge_spans("spans").alias("spans"), "items")
 
 
 def merge_spans(spans: str):
@@ -344,10 +359,11 @@ def hits(spans: DataFrame) -> DataFrame:
     return spans.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the contaminated ones, unchanged otherwise. Rows with one id go or stay together."""
-    bad = hits(find_spans(docs, benchmark, id_col=id_col, **options)).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, most_words: int = 1 << 20, shard_words: int = 1 << 18, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the contaminated rows, unchanged otherwise. Each row is judged by its own text."""
+    rows = docs.select(F.struct("*").alias("row"))
+    found = _found(rows, benchmark, width=width, most_words=most_words, shard_words=shard_words, text_col=text_col, item_col=item_col, item_text_col=item_text_col, kept=docs.columns)
+    return hits(found).where("NOT contaminated").select("row.*")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
