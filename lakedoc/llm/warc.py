@@ -49,7 +49,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .shared import new_path
+from .shared import cut, new_path
 
 #: Column, header of the WARC format.
 HEADER_OF = {
@@ -368,6 +368,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session and turn on filter pushdown to Python sources, which is a setting of the caller's session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
@@ -376,11 +377,12 @@ def with_revisits(pages: DataFrame, *, least_bytes: int = 0, id_col: str = "page
     """Records to write: of pages with equal payloads of ``least_bytes`` or more, the one with the largest id is the response.
 
     Without ids to tell them apart, all with the largest id are responses; a page without
-    an id revisits one that has one.
+    an id revisits one that has one. The ids of responses are found from digests alone and written before they meet the
+    payloads, so Spark may broadcast them by their size, or split a hot digest (an error page of a third of all pages).
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("target_uri"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html")))
-    again = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    again = cut(rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
     rows = rows.join(again, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False)))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return rows.select(
