@@ -8,7 +8,9 @@ with the least loss, each bit weighted by how well it separates. Ambiguous are t
 whose two nearest codewords are close, or whose bits lie beyond what the code corrects.
 
 Up to seven languages get the exhaustive code, more get dense words of fixed signs. Counts are
-aggregated by language and bucket; what reaches the driver is ``max_languages`` x 65,536 rows at most.
+aggregated by language and bucket, and turned into weights of bits by Spark's tasks, each for its own buckets. So any number of
+languages is learned: what reaches the driver is the model, 65,536 buckets x bits (about ten times the logarithm of
+the number of languages), and the languages' names. Memory for a text is a fixed part and about 20 bytes a byte.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any training
 text all are ``und``; with one language all others are that language with score 1; null languages are
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut, discard
 from .textblocks import LOWER, Block, blocks, mix64
 
 BUCKETS = 1 << 16
@@ -79,12 +82,14 @@ def codewords(n_languages: int) -> np.ndarray:
         splits = range(1, 2 ** (n_languages - 1))
         return np.array([[1.0 if k == n_languages - 1 or not s >> k & 1 else -1.0 for s in splits] for k in range(n_languages)])
     n_bits = math.ceil(10 * math.log2(n_languages))
-    best = None
+    best, rows = None, np.arange(n_languages)
     for seed in range(20):
         raw = mix64(np.arange(n_languages * n_bits, dtype=np.uint64) + np.uint64(seed * 1_000_003))
         signs = np.where(raw.reshape(n_languages, n_bits) >> np.uint64(63), 1.0, -1.0)
         signs = signs[:, np.abs(signs.sum(0)) < n_languages]
-        apart = min((signs[a] != signs[b]).sum() for a in range(n_languages) for b in range(a))
+        same = signs @ signs.T
+        same[rows, rows] = -np.inf
+        apart = (signs.shape[1] - same.max()) / 2
         if best is None or apart > best[0]:
             best = (apart, signs)
     return best[1]
@@ -104,38 +109,76 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.array(batch.column(0).to_pylist(), object)
         for block in blocks(batch.column(1)):
             names, code = np.unique(languages[block.row0 : block.row0 + len(block)].astype(str), return_inverse=True)
-            of_byte = np.zeros(len(block.data), np.int32)
+            of_byte = np.zeros(len(block.data), np.int64)
             for a, b, c in zip(block.starts, block.ends, code, strict=True):
                 of_byte[a:b] = c
             for bucket in ngram_buckets(block):
-                found = np.bincount(of_byte * (BUCKETS + 1) + bucket, minlength=len(names) * (BUCKETS + 1)).reshape(len(names), -1)
-                for name, row in zip(names, found, strict=True):
-                    held[str(name)] = held[str(name)] + row if str(name) in held else row
-            if len(held) > 32:
-                yield from flush()
+                keys, n = np.unique(of_byte * (BUCKETS + 1) + bucket, return_counts=True) if len(names) > 8 else _dense(of_byte, bucket, len(names))
+                cuts = np.searchsorted(keys, np.arange(len(names) + 1) * (BUCKETS + 1))
+                for name, a, b in zip(map(str, names), cuts[:-1], cuts[1:], strict=True):
+                    if name not in held:
+                        if len(held) >= 32:
+                            yield from flush()
+                        held[name] = np.zeros(BUCKETS + 1, np.int64)
+                    held[name][keys[a:b] % (BUCKETS + 1)] += n[a:b]
     yield from flush()
 
 
-def train(texts: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_languages: int = 64) -> Model:
+def _dense(of_byte: np.ndarray, bucket: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray]:
+    found = np.bincount(of_byte * (BUCKETS + 1) + bucket, minlength=n_names * (BUCKETS + 1))
+    keys = np.flatnonzero(found)
+    return keys, found[keys]
+
+
+def _weights(names: list[str], totals: np.ndarray, signs: np.ndarray):
+    """(lang, bucket, n), all rows of a bucket in one task, to (bucket, log odds by bit) and one row (-1, sums of odds by side and bit)."""
+    place = {name: k for k, name in enumerate(names)}
+    mass = totals + 0.5 * BUCKETS
+    sides = [((signs > 0) / (signs > 0).sum(0)), ((signs < 0) / (signs < 0).sum(0))]  # [language, bit]: the share of each language in its side's mean
+    # a bucket that no text holds has the same share in all languages
+    floor = [(0.5 / mass) @ side for side in sides]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, dict[int, int]] = {}
+        for batch in batches:
+            for lang, bucket, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                counts.setdefault(bucket, {})[place[lang]] = n
+        means = np.zeros((2, signs.shape[1]))
+        rows = []
+        for bucket, held in counts.items():
+            at = np.fromiter(held, np.int64, len(held))
+            extra = np.fromiter(held.values(), float, len(held)) / mass[at]
+            yes, no = (f + extra @ side[at] for f, side in zip(floor, sides, strict=True))
+            odds = np.log(yes) - np.log(no)
+            means += np.stack([yes * odds, no * odds])
+            rows.append(odds)
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, -1], pa.int32()), pa.array([*map(list, rows), means.ravel().tolist()], pa.list_(pa.float64()))], names=["bucket", "odds"])
+
+    return run, floor
+
+
+def train(texts: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Bit classifiers from all rows of ``texts`` that have a language."""
     rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    names = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages; raise max_languages")
+    counted = cut(rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: 0 for r in rows.select("lang").distinct().collect()} | {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    names = sorted(totals)
     signs = codewords(len(names))
     if len(names) < 2:
         return Model(names, signs, np.zeros((BUCKETS + 1, 1), np.float32), np.zeros(1), np.ones(1), np.ones(1))
-    found = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((len(names), BUCKETS))
-    np.add.at(table, (np.searchsorted(names, found["lang"].to_numpy(str)), found["bucket"].to_numpy()), found["n"].to_numpy())
-    share = (table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * BUCKETS)
+    run, floor = _weights(names, np.array([totals[x] for x in names], float), signs)
+    odds = np.log(floor[0]) - np.log(floor[1])
     weights = np.zeros((BUCKETS + 1, signs.shape[1]), np.float32)
-    means = np.zeros((2, signs.shape[1]))
-    for b, side in enumerate(signs.T):
-        yes, no = share[side > 0].mean(0), share[side < 0].mean(0)
-        odds = np.log(yes) - np.log(no)
-        weights[:BUCKETS, b] = odds
-        means[:, b] = yes @ odds, no @ odds
+    weights[:BUCKETS] = odds
+    means, missing = np.zeros((2, signs.shape[1])), BUCKETS
+    for r in counted.repartition("bucket").mapInArrow(run, "bucket int, odds array<double>").toLocalIterator():
+        if r["bucket"] < 0:
+            means += np.array(r["odds"]).reshape(2, -1)
+        else:
+            weights[r["bucket"]] = r["odds"]
+            missing -= 1
+    means += missing * np.stack([floor[0] * odds, floor[1] * odds])
+    discard(counted)
     scale = np.maximum((means[0] - means[1]) / 2, 1e-9)
     return Model(names, signs, weights, means.mean(0), scale, scale / scale.mean())
 
@@ -158,17 +201,23 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", least_gap: float = 0.2) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_ambiguous (those names are replaced)."""
+def _bit_sums(weights: np.ndarray, bucket: np.ndarray, starts: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Summed weights of the documents that begin at ``starts``. A block longer than ``step`` is one document, and is summed in parts."""
+    if len(bucket) <= step:
+        return np.add.reduceat(weights[bucket], starts, axis=0, dtype=np.float64)
+    return sum(weights[bucket[a : a + step]].sum(0, dtype=np.float64) for a in range(0, len(bucket), step))[None]
+
+
+def _identified(docs: DataFrame, model: Model, *, text_col: str, least_gap: float) -> DataFrame:
+    """``row`` (all columns of ``docs``), lang_pred, lang_score and lang_ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
-    rows = docs.select(F.struct(*kept).alias("row"))  # the text goes to Python once, within its row
+    rows = docs.select(F.struct("*").alias("row"))  # the text goes to Python once, within its row
     schema = rows.select("row").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         signs = model.codewords
-        corrected = (min([int((a != b).sum()) for i, a in enumerate(signs) for b in signs[:i]] or [1]) - 1) // 2
+        corrected = (int((signs.shape[1] - max((signs @ signs.T)[np.triu_indices(len(signs), 1)])) / 2) - 1) // 2 if len(signs) > 1 else 0
         for batch in batches:
             texts = batch.column(0).field(text_col)
             for block in blocks(texts, 1 << 18):
@@ -177,7 +226,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", least_gap
                 full = np.flatnonzero(block.ends > block.starts)
                 if len(full) and len(signs):
                     for bucket in ngram_buckets(block):
-                        sums[full] += np.add.reduceat(model.weights[bucket], block.starts[full], axis=0, dtype=np.float64)
+                        sums[full] += _bit_sums(model.weights, bucket, block.starts[full])
                         n[full] += np.add.reduceat((bucket < BUCKETS).astype(np.int64), block.starts[full])
                 held = texts.slice(block.row0, len(block)).to_pylist()
                 ok = np.array([has_letter(t) for t in held], bool) & bool(len(signs))
@@ -190,7 +239,15 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", least_gap
                         names[k] = model.languages[b]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.row0, len(block)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_())], names=["row", "lang_pred", "lang_score", "lang_ambiguous"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "lang_score", "lang_ambiguous")
+    return rows.mapInArrow(run, schema)
+
+
+ADDED = ("lang_pred", "lang_score", "lang_ambiguous")
+
+
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", least_gap: float = 0.2) -> DataFrame:
+    """``docs`` with lang_pred, lang_score and lang_ambiguous, which replace columns of those names."""
+    return _identified(docs, model, text_col=text_col, least_gap=least_gap).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def held_out(id_col: str, folds: int):
@@ -200,8 +257,8 @@ def held_out(id_col: str, folds: int):
 def drop_unidentified(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", folds: int = 5) -> DataFrame:
     """``docs`` without rows of no language: no letter, or a decoding that is ambiguous with a score under one half."""
     model = train(docs.where(~held_out(id_col, folds)), lang_col=lang_col, text_col=text_col)
-    found = identify(docs, model, text_col=text_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & ~(F.col("lang_ambiguous") & (F.col("lang_score") < 0.5))).select(*docs.columns)
+    found = _identified(docs, model, text_col=text_col, least_gap=0.2)
+    return found.where((F.col("lang_pred") != UNKNOWN) & ~(F.col("lang_ambiguous") & (F.col("lang_score") < 0.5))).select("row.*")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
