@@ -6,8 +6,9 @@ each line's marginal probability of being good, and a document's quality is the
 its lines' marginals, weighted by their length in bytes.
 
 The field is fitted by gradient ascent on a bounded sample: at most ``max_docs`` labelled documents of each
-label, the ones with the smallest hash of the id, with at most ``max_lines`` lines each in
-fitting; every line takes its document's label. Scoring covers all lines of all documents.
+label, the ones with the smallest hash of the id, and of each at most ``max_lines`` consecutive lines that begin at a place
+given by that hash, anywhere in the document; every line takes its document's label. Scoring covers all lines of all
+documents; a task holds a whole document's features, about 1 KB a line.
 
 Defined cases: texts without a non-blank line (null and empty ones too) score the share of
 good documents in the sample; without labels that is 0.5 and all documents get it; several labels of a
@@ -187,13 +188,14 @@ def fit(x: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight
 
 
 def _line_rows(max_lines: int):
-    """(doc_id, label, text) to the label and packed features of each document's first lines."""
+    """(at, label, text) to the label and packed features of consecutive lines of each document, from a place that ``at`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
                 lines = lines_of(block)
-                packed = [lines.x[a : min(b, a + max_lines)].astype(np.float32).tobytes() for a, b in zip(lines.lo, lines.hi, strict=True)]
+                place = np.asarray(batch.column(0).slice(block.row0, len(block))) % np.maximum(lines.hi - lines.lo - max_lines + 1, 1)
+                packed = [lines.x[a + p : min(b, a + p + max_lines)].astype(np.float32).tobytes() for a, b, p in zip(lines.lo, lines.hi, place, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.row0, len(block)), pa.array(packed, pa.binary())], names=["label", "x"])
 
     return run
@@ -204,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000, max_lines
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = marked.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("at", F.xxhash64("doc_id"))
     picked = [chosen.where(F.col("label") == k).orderBy("at", "doc_id").limit(max_docs) for k in (0, 1)]
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "label", "text")
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("at", "label", "text")
     rows = [(r["label"], np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES)) for r in sample.mapInArrow(_line_rows(max_lines), "label int, x binary").collect()]
     rows = [r for r in rows if len(r[1])]
     if not rows:
