@@ -3,9 +3,10 @@
 An existing subword vocabulary spans a lattice over each word: every way to cut it into pieces is a
 path, weighted by the product of its pieces' probabilities. A forward recursion in log space
 sums all paths, which gives the word's marginal probability; a document's is the product over its
-words and one end. Pieces start with the vocabulary's own scores (ranks, as a Zipf law, where the file
-holds merge ranks), and their probabilities are re-estimated on the training documents by
-expected counts over all segmentations (forward-backward). Nothing is segmented greedily.
+words and one end. Where the vocabulary file holds log probabilities (a unigram model), they are the pieces' scores as they
+stand. Where it holds merge ranks, these start as a Zipf law and probabilities are re-estimated on the training
+documents by two rounds of expected counts over all segmentations (forward-backward), as ranks alone
+are no likelihoods; ``rounds`` sets another number. Nothing is segmented greedily.
 
 Words are counted over all documents first, so each distinct word's lattice is summed once, however
 often it stands in the corpus. A word with at least 1 in ``head_share`` of the training tokens goes into a
@@ -37,6 +38,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 256  # the code that begins each word; bytes are 0 to 255
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 LONG = 64  # words of more codes are summed one by one
+CHUNK = 1 << 14  # places of such a word whose pieces are held at a time
 END = b""  # the key of the end in tables of words, which are never empty
 
 
@@ -48,13 +50,14 @@ class Pieces:
     logp: np.ndarray
     longest: int
     end: float = 0.0
+    ranked: bool = False  # the scores come from merge ranks
 
     def __post_init__(self):
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def __reduce__(self):
-        return Pieces, (self.hashes, self.logp, self.longest, self.end)
+        return Pieces, (self.hashes, self.logp, self.longest, self.end, self.ranked)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``h`` that are pieces, and which."""
@@ -93,13 +96,14 @@ def load_pieces(vocabulary: str = VOCABULARY) -> Pieces:
         found[codes] = max(found.get(codes, -math.inf), score)
     scores = np.array(list(found.values()))
     known = np.isfinite(scores)
-    if known.any() and np.all(scores[known] == np.round(scores[known])):  # merge ranks, not logarithms
+    ranked = bool(known.any() and np.all(scores[known] == np.round(scores[known])))  # merge ranks, not logarithms
+    if ranked:
         scores[known] = -np.log(2.0 - scores[known])
     scores[~known] = (scores[known].min() if known.any() else 0.0) - 1.0
     logp = scores - np.logaddexp.reduce(scores)
     hashes = np.array([_hash(list(c)) for c in found], np.uint64)
     order = np.argsort(hashes)
-    return Pieces(hashes[order], logp[order], max(map(len, found)))
+    return Pieces(hashes[order], logp[order], max(map(len, found)), ranked=ranked)
 
 
 def _codes(words: list[bytes], length: int) -> np.ndarray:
@@ -139,46 +143,57 @@ def expected(codes: np.ndarray, weight: np.ndarray, pieces: Pieces) -> np.ndarra
     return np.bincount(np.concatenate(which), np.concatenate(uses), len(pieces.logp))
 
 
-def _long_arcs(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """[k, i]: log probability of the piece of k+1 codes that starts at i, by position of one long word."""
-    n = len(codes)
-    arcs = np.full((min(pieces.longest, n), n), -1, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(len(arcs)):
-        h = _step(h[: n - k], codes[k:])
-        rows, which = pieces.find(h)
-        arcs[k, rows] = which
-    return arcs
-
-
-def long_forward(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    arcs = _long_arcs(codes, pieces)
-    most, n = arcs.shape
-    weight = np.where(arcs >= 0, pieces.logp[arcs], -np.inf)
-    into = np.full((n + 1, most), -np.inf)  # [j, k]: the piece of k+1 codes that ends at j
-    for k in range(most):
-        into[k + 1 :, k] = weight[k, : n - k]
-    alpha = np.full(n + 1, -np.inf)
-    alpha[0] = 0
-    for j in range(1, n + 1):
-        m = min(most, j)
-        alpha[j] = np.logaddexp.reduce(alpha[j - m : j][::-1] + into[j, :m])
-    return alpha, arcs
+def _arcs(codes: np.ndarray, pieces: Pieces, lo: int, hi: int, by_end: bool) -> Iterator[tuple[int, list[int], list[int]]]:
+    """Pieces in one long word that end in (lo, hi], or start in [lo, hi): each such place in order, and the other ends and the pieces there."""
+    a = max(0, lo - pieces.longest + 1) if by_end else lo
+    b = hi if by_end else min(len(codes), hi + pieces.longest - 1)
+    part = codes[a:b]
+    starts, ends, which = [], [], []
+    h = np.zeros(len(part), np.uint64)
+    for k in range(min(pieces.longest, len(part))):
+        h = _step(h[: len(part) - k], part[k:])
+        rows, found = pieces.find(h)
+        starts.append(rows + a)
+        ends.append(rows + (a + k + 1))
+        which.append(found)
+    starts, ends, which = np.concatenate(starts), np.concatenate(ends), np.concatenate(which)
+    here, there = (ends, starts) if by_end else (starts, ends)
+    inside = (here > lo) & (here <= hi) if by_end else (here >= lo) & (here < hi)
+    order = np.flatnonzero(inside)[np.argsort(here[inside], kind="stable")]
+    here, there, which = here[order], there[order], which[order]
+    edges = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if len(here) else np.zeros(0, np.int64)
+    for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(here)], strict=True) if len(edges) else ():
+        yield int(here[x]), there[x:y].tolist(), which[x:y].tolist()
+
+
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum(math.exp(x - top) for x in terms)) if len(terms) > 1 else top
+
+
+def long_forward(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Log-space forward sums of one word, by position; its pieces are found for ``CHUNK`` places at a time."""
+    logp = pieces.logp
+    alpha = [0.0] + [-math.inf] * len(codes)
+    for lo in range(0, len(codes), CHUNK):
+        for j, starts, which in _arcs(codes, pieces, lo, min(len(codes), lo + CHUNK), True):
+            alpha[j] = _log_sum([alpha[i] + p for i, p in zip(starts, logp[which].tolist(), strict=True)])
+    return np.array(alpha)
 
 
 def long_expected(codes: np.ndarray, weight: float, pieces: Pieces) -> np.ndarray:
-    alpha, arcs = long_forward(codes, pieces)
-    most, n = arcs.shape
-    step = np.where(arcs >= 0, pieces.logp[arcs], -np.inf)
-    beta = np.full(n + 1, -np.inf)
-    beta[n] = 0
-    for i in range(n - 1, -1, -1):
-        m = min(most, n - i)
-        beta[i] = np.logaddexp.reduce(step[:m, i] + beta[i + 1 : i + m + 1])
-    out = np.zeros(len(pieces.logp))
-    for k in range(most):
-        use = np.exp(alpha[: n - k] + step[k, : n - k] + beta[k + 1 :] - alpha[n]) * weight
-        np.add.at(out, arcs[k, : n - k][arcs[k, : n - k] >= 0], use[arcs[k, : n - k] >= 0])
+    logp = pieces.logp
+    alpha = long_forward(codes, pieces).tolist()
+    n = len(codes)
+    beta = [-math.inf] * n + [0.0]
+    out = np.zeros(len(logp))
+    for lo in range((n - 1) // CHUNK * CHUNK, -1, -CHUNK):
+        places = list(_arcs(codes, pieces, lo, min(n, lo + CHUNK), False))
+        for i, ends, which in reversed(places):
+            onward = [beta[j] + p for j, p in zip(ends, logp[which].tolist(), strict=True)]
+            beta[i] = _log_sum(onward)
+            for k, x in zip(which, onward, strict=True):
+                out[k] += math.exp(alpha[i] + x - alpha[n]) * weight
     return out
 
 
@@ -199,7 +214,7 @@ def word_logp(words: list[bytes], pieces: Pieces) -> np.ndarray:
     for length, at in _by_length(words):
         if length > LONG:
             for k in at:
-                out[k] = long_forward(_codes([words[k]], length)[0], pieces)[0][-1]
+                out[k] = long_forward(_codes([words[k]], length)[0], pieces)[-1]
         else:
             out[at] = forward(_codes([words[k] for k in at], length), pieces)[0][-1]
     return out
@@ -258,7 +273,7 @@ def _base(c: int, n: int, v: int) -> float:
     return math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
 
-def score_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, folds: int = 10, rounds: int = 2, head_share: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, folds: int = 10, rounds: int | None = None, head_share: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     ``score``: log10 of the document's marginal probability; ``base_score``: of its words as whole units with
@@ -273,7 +288,8 @@ def score_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY, folds: int
     n, v, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))).first()
 
     pieces = load_pieces(vocabulary)
-    total = float(np.exp(pieces.logp).sum())
+    total = max(float(n - ends), 1.0)  # without re-estimation, the end's share is taken among words
+    rounds = rounds if rounds is not None else 2 * pieces.ranked
     for _ in range(rounds if n else 0):
         model = spark.sparkContext.broadcast(pieces)
 
