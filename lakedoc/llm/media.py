@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds all magic bytes of a blob in one pass; at each hit a validator of
 that format walks its structure (chunks, markers, blocks, boxes) and gives the exact
 length, or none. The first valid object decides the true type, whatever was declared, and
-valid objects are carved out by offset and length; one that lies within another is part of it.
+valid objects are carved out by offset and length; one that lies within another is part of it. FLAC is not among
+the formats, as its frames tell no length and only decoding them would.
 
 Defined cases: a null or empty blob has no objects and the type ``application/octet-stream`` with
 length 0; a blob of text without objects is ``text/plain`` if it is UTF-8 without NUL; truncated objects
@@ -13,7 +14,9 @@ named columns are read, so others may have any names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +33,7 @@ def _png(b: bytes, at: int) -> int | None:
     while p + 12 <= len(b):
         n = int.from_bytes(b[p : p + 4], "big")
         kind, end = b[p + 4 : p + 8], p + 12 + n
-        if end > len(b) or zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big") or (not seen and kind != b"IHDR"):
+        if end > len(b) or (not seen and (kind, n) != (b"IHDR", 13)) or zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
             return None
         seen, p = kind, end
         if kind == b"IEND":
@@ -121,15 +124,43 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if planes == 1 and bits in (1, 4, 8, 16, 24, 32) and offset + (w * bits + 31) // 32 * 4 * abs(h) <= size else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end and end + 22 <= len(b):
-        size, offset = struct.unpack_from("<II", b, end + 12)
-        note = int.from_bytes(b[end + 20 : end + 22], "little")
-        if at + offset + size == end and end + 22 + note <= len(b) and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+class Ends:
+    """Where ZIP archives and PDF files may end in a blob, found in one scan and looked up from then on."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+
+    @functools.cached_property
+    def zips(self) -> dict[int, int]:
+        """The start that an end-of-directory record tells of, and the first end that tells of it."""
+        found: dict[int, int] = {}
+        b, end = self.blob, self.blob.find(b"PK\x05\x06")
+        while 0 <= end and end + 22 <= len(b):
+            size, offset = struct.unpack_from("<II", b, end + 12)
+            note = int.from_bytes(b[end + 20 : end + 22], "little")
+            at = end - size - offset
+            if at >= 0 and end + 22 + note <= len(b) and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
+                found.setdefault(at, end + 22 + note)
+            end = b.find(b"PK\x05\x06", end + 4)
+        return found
+
+    @functools.cached_property
+    def trailers(self) -> dict[int, int]:
+        """Offsets of cross-reference tables that trailers tell of, and the end of the last trailer that tells of each."""
+        return {int(m[1]): m.end() for m in re.finditer(rb"startxref\s{1,4}(\d{1,19})\s{1,4}%%EOF", self.blob)}
+
+
+def _zip(b: bytes, at: int, ends: Ends) -> int | None:
+    return ends.zips[at] - at if at in ends.zips else None
+
+
+def _pdf(b: bytes, at: int, ends: Ends) -> int | None:
+    """To the last trailer whose table lies where it says, counted from this header; updated files have several."""
+    found = [end for offset, end in ends.trailers.items() if at + offset < end and _TABLE.match(b, at + offset)]
+    return max(found) - at if found else None
+
+
+_TABLE = re.compile(rb"xref\b|\d{1,10}\s+\d{1,5}\s+obj\b")
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -144,30 +175,13 @@ def _gzip(b: bytes, at: int) -> int | None:
     return len(b) - at - len(unpack.unused_data) if unpack.eof else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+_REVERSED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
 
 
-def _flac(b: bytes, at: int) -> int | None:
-    p, last, first = at + 4, 0, True
-    while not last:
-        if p + 4 > len(b):
-            return None
-        last, kind, n = b[p] & 0x80, b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (kind or n != 34):
-            return None
-        first = False
-        p += 4 + n
-    return len(b) - at if p <= len(b) and (p == len(b) or b[p] == 0xFF) else None
-
-
-_OGG_CRC = []
-for _i in range(256):
-    _r = _i << 24
-    for _ in range(8):
-        _r = (_r << 1 ^ (0x04C11DB7 if _r & 0x80000000 else 0)) & 0xFFFFFFFF
-    _OGG_CRC.append(_r)
+def _ogg_crc(data: bytes) -> int:
+    """The format's checksum (highest bit first, from 0), which is zlib's with all bits mirrored."""
+    mirrored = zlib.crc32(data.translate(_REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{mirrored:032b}"[::-1], 2)
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -175,12 +189,7 @@ def _ogg(b: bytes, at: int) -> int | None:
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b):
         table = b[p + 27 : p + 27 + b[p + 26]]
         end = p + 27 + b[p + 26] + sum(table)
-        if end > len(b):
-            return None
-        crc = 0
-        for x in b[p : p + 22] + bytes(4) + b[p + 26 : end]:
-            crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG_CRC[(crc >> 24) ^ x]
-        if crc != int.from_bytes(b[p + 22 : p + 26], "little"):
+        if end > len(b) or _ogg_crc(b[p : p + 22] + bytes(4) + b[p + 26 : end]) != int.from_bytes(b[p + 22 : p + 26], "little"):
             return None
         last, p = b[p + 5] & 4, end
         if last:
@@ -202,7 +211,7 @@ def _mp4(b: bytes, at: int) -> int | None:
 
 
 #: Fixed values of the formats: type, magic bytes, their offset in the object, validator.
-FORMATS: list[tuple[str, bytes, int, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[str, bytes, int, Callable[..., int | None]]] = [
     ("image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
     ("image/jpeg", b"\xff\xd8\xff", 0, _jpeg),
     ("image/gif", b"GIF87a", 0, _gif),
@@ -214,7 +223,6 @@ FORMATS: list[tuple[str, bytes, int, Callable[[bytes, int], int | None]]] = [
     ("application/zip", b"PK\x03\x04", 0, _zip),
     ("application/gzip", b"\x1f\x8b\x08", 0, _gzip),
     ("application/pdf", b"%PDF-", 0, _pdf),
-    ("audio/flac", b"fLaC", 0, _flac),
     ("application/ogg", b"OggS", 0, _ogg),
     ("video/mp4", b"ftyp", 4, _mp4),
 ]
@@ -234,12 +242,12 @@ def sniff(blob: bytes | None, automaton: ahocorasick.Automaton) -> tuple[str, li
         return "application/octet-stream", [], 0
     hits = sorted((end + 1 - n - FORMATS[k][2], k) for end, (k, n) in automaton.iter(blob.decode("latin-1")))
     objects: list[tuple[str, int, int]] = []
-    covered = 0
+    covered, ends = 0, Ends(blob)
     for at, k in hits:
         if at < covered:
             continue
         kind, _, _, validate = FORMATS[k]
-        if (length := validate(blob, at)) is not None:
+        if (length := validate(blob, at, ends) if validate in (_zip, _pdf) else validate(blob, at)) is not None:
             objects.append((kind, at, length))
             covered = at + length
     if objects:
