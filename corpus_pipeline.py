@@ -4,19 +4,22 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 return the columns of ``documents``. ``run`` writes each result as Parquet in the cluster's shared folder and
 reads it again for the next stage, so a lost executor costs one stage's tasks and no more.
 
-Empty inputs give empty results; null texts have no language and leave in the first stage.
+Empty inputs give empty results; null texts have no language and leave in the first stage. Rows are told apart by themselves,
+so ids may be null or repeated: each row is judged by its own text, and of equal texts one row stays. Other columns of
+documents are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakedoc.llm.decontaminate import drop_contaminated
 from lakedoc.llm.language_id import drop_unidentified
 from lakedoc.llm.line_dedup import dedup_lines
 from lakedoc.llm.minhash import drop_near_duplicates
 from lakedoc.llm.mixing import labelled_quality, mix
-from lakedoc.llm.shared import spill
+from lakedoc.llm.shared import discard, discard_all, mark, spill
 from lakedoc.shipping import shipped
 
 
@@ -30,9 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text whose copies alone stand on so many counts as one source, so that the next stage finds its text to keep.
     """
-    columns = docs.columns
-    found = dedup_lines(docs, copies_once=True)
-    return found.selectExpr(*["cast(coalesce(length(text), 0) as long) AS n_chars" if c == "n_chars" else f"`{c}`" for c in columns])
+    found = dedup_lines(docs, copies_once=True, counts=False)
+    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else found
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = spill(stage(spark, docs, sf_dir), name)
+        before = mark(spark)
+        docs, last = spill(stage(spark, docs, sf_dir), name), docs
+        discard_all(spark, before, keep=docs)  # what the stage wrote on its way
+        discard(last)
     return docs
