@@ -6,6 +6,7 @@ All results are lazy DataFrames, so filters, columns and limits reach the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -32,11 +33,21 @@ class Collection:
     order: Sequence[str] = ("_id",)
     local: DataFrame | None = None
     indexes: list = field(default_factory=list)
+    prefix: str | None = None  # of all ids, where they are made of a prefix and the columns in ``order``
+    parts: dict = field(default_factory=dict)  # collections by prefix, of which this one is the union
 
     @classmethod
     def from_table(cls, df: DataFrame, prefix: str, keys: Sequence[str]) -> Collection:
-        """Rows of a table as documents ``prefix:key:...``; the prefix is also their partition."""
-        return cls(df.withColumn("_id", F.concat_ws(":", F.lit(prefix), *[F.col(k).cast("string") for k in keys])), order=tuple(keys))
+        """Rows of a table as documents ``prefix:key:...``; the prefix is also their partition.
+
+        Conditions on ids are also put on the key columns, so they reach the scan where keys are whole numbers.
+        """
+        return cls(df.withColumn("_id", F.concat_ws(":", F.lit(prefix), *[F.col(k).cast("string") for k in keys])), order=tuple(keys), prefix=prefix)
+
+    @classmethod
+    def of_parts(cls, parts: Sequence[Collection]) -> Collection:
+        """The union of collections with prefixes; a partition of it is read from its own part alone."""
+        return cls(reduce(DataFrame.unionByName, [p.docs for p in parts]), parts={p.prefix: p for p in parts})
 
     @classmethod
     def from_json(cls, df: DataFrame, text_col: str, id_col: Column) -> Collection:
@@ -82,7 +93,7 @@ class Collection:
         if stats is not None:
             found = replace(found, docs=found.docs.observe(stats, F.count(F.lit(1)).alias("docs_examined")))
         if partition is not None:
-            found = replace(found, docs=found.docs.where(F.col("_id").startswith(f"{partition}:")))
+            found = found.partition(partition)
         found = found.where(selector)
         docs = found.docs
         if bookmark is not None:
@@ -110,15 +121,42 @@ class Collection:
     # -- ids ----------------------------------------------------------------------------
 
     def get(self, doc_id: str) -> DataFrame:
-        return self.docs.where(F.col("_id") == doc_id)
+        return self._with_id(doc_id)
+
+    def _whole_keys(self) -> bool:
+        return self.prefix is not None and all(isinstance(self.docs.schema[k].dataType, T.IntegralType) for k in self.order)
+
+    def _with_id(self, doc_id: str) -> DataFrame:
+        """Documents of one id; whole-number keys are read off it."""
+        docs = self.docs.where(F.col("_id") == doc_id)
+        found = doc_id.split(":")[-len(self.order) :]
+        if self._whole_keys() and doc_id == ":".join([self.prefix, *found]) and all(re.fullmatch(r"-?\d{1,18}", v) for v in found):
+            for k, v in zip(self.order, found, strict=True):
+                docs = docs.where(F.col(k) == int(v))
+        return docs
+
+    def _between_ids(self, low: str | None, high: str | None) -> Column | None:
+        """What a range of ids says of a single whole-number key: for each number of digits, a range of numbers. None: nothing."""
+        if not self._whole_keys() or len(self.order) > 1:
+            return None
+        most = 18 if isinstance(self.docs.schema[self.order[0]].dataType, T.LongType) else 9
+        digits = lambda bound: re.match(r"\d*", bound[len(self.prefix) + 1 :])[0] if bound is not None and bound.startswith(f"{self.prefix}:") else ""
+        a, b = digits(low), digits(high)
+        if not a and not b:
+            return None
+        key = F.col(self.order[0])
+        ranges = [(int(a[:n].ljust(n, "0")), int(b[:n].ljust(n, "9"))) for n in range(1, most + 1)]
+        return reduce(or_, [(key >= x) & (key <= y) for x, y in ranges if x <= y], (key < 0) | (key >= 10**most))
 
     def all_docs(self, *, startkey=None, endkey=None, key=None, inclusive_end: bool = True, descending: bool = False, skip: int = 0, limit: int | None = None, include_docs: bool = False, prefix: str | None = None) -> DataFrame:
         """``id, key, rev`` (and ``doc``) by id range. ``descending`` reverses the order and the roles of the bounds."""
         docs = self.live().docs if prefix is None else self.docs.where(F.col("_id").startswith(prefix))
         if key is not None:
-            docs = docs.where(F.col("_id") == key)
+            docs = replace(self, docs=docs)._with_id(key)
         low, high = (endkey, startkey) if descending else (startkey, endkey)
         at = F.col("_id")
+        if (bounds := self._between_ids(low, high)) is not None:
+            docs = docs.where(bounds)
         if low is not None:
             docs = docs.where(at >= low if inclusive_end or not descending else at > low)
         if high is not None:
@@ -131,8 +169,11 @@ class Collection:
         return rows
 
     def all_docs_by_keys(self, keys: DataFrame, key_col: str = "key", include_docs: bool = False) -> DataFrame:
-        """A row per requested key, in order of ``pos``: missing ones have the error ``not_found``."""
-        rows = self.live().docs.select(*_id_row(self.docs, include_docs)).drop("key")
+        """A row per requested key, in order of ``pos``: missing ones have the error ``not_found``, tombstones are ``deleted`` and have no document."""
+        gone = F.coalesce("_deleted", F.lit(False)) if "_deleted" in self.docs.columns else F.lit(False)
+        rows = self.docs.select(*_id_row(self.docs, include_docs), gone.alias("deleted")).drop("key")
+        if include_docs:
+            rows = rows.withColumn("doc", F.when(~F.col("deleted"), F.col("doc")))
         joined = keys.select("pos", F.col(key_col).alias("key")).join(rows, F.col("key") == F.col("id"), "left")
         return joined.withColumn("error", F.when(F.col("id").isNull(), "not_found"))
 
@@ -156,6 +197,11 @@ class Collection:
     # -- partitions and figures --------------------------------------------------------
 
     def partition(self, name: str) -> Collection:
+        if self.parts:
+            empty = replace(self, docs=self.docs.where(F.lit(False)), parts={})
+            return replace(self.parts[name], docs=self.parts[name].docs.select(*self.docs.columns), order=self.order, prefix=None) if name in self.parts else empty
+        if self.prefix is not None:  # all documents are of one partition
+            return self if name == self.prefix else replace(self, docs=self.docs.where(F.lit(False)))
         return replace(self, docs=self.docs.where(F.col("_id").startswith(f"{name}:")))
 
     def partition_info(self, name: str) -> DataFrame:

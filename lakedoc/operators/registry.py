@@ -6,8 +6,6 @@ bucket pruning answer equality lookups.
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -23,8 +21,8 @@ class IndexRegistry:
 
     def create(self, fields: Sequence[str], name: str | None = None, ddoc: str | None = None) -> str:
         """``created``, or ``exists`` if the same index is there."""
-        digest = hashlib.sha1(json.dumps(list(fields)).encode()).hexdigest()[:8]
-        index = {"ddoc": ddoc or f"_design/idx_{digest}", "name": name or f"idx_{digest}", "type": "json", "fields": list(fields)}
+        own = "by-" + "-".join(fields)
+        index = {"ddoc": ddoc or f"_design/{own}", "name": name or own, "type": "json", "fields": list(fields)}
         if any(i["fields"] == index["fields"] and i["name"] == index["name"] and i["ddoc"] == index["ddoc"] for i in self.indexes):
             return "exists"
         self.indexes.append(index)
@@ -47,19 +45,33 @@ def write_indexed(docs: DataFrame, path: str, fields: Sequence[str], files: int
     parts.sortWithinPartitions(*fields).write.mode("overwrite").parquet(path)
 
 
-def databases(spark: SparkSession, names: Sequence[str], *, startkey: str | None = None, endkey: str | None = None, skip: int = 0, limit: int | None = None, descending: bool = False) -> DataFrame:
-    """Names of collections in a range, in order."""
-    rows = spark.createDataFrame([(n,) for n in names], "name string")
+def lookup(spark: SparkSession, path: str, values: dict) -> DataFrame:
+    """Rows of a layout whose fields have the values; statistics of its files and row groups rule out most of it."""
+    rows = spark.read.parquet(path)
+    for name, value in values.items():
+        rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def layout_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``files, bytes, rows`` of a layout."""
+    files = spark.read.parquet(path).groupBy("_metadata.file_path").agg(F.first("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def databases(names: DataFrame, *, startkey: str | None = None, endkey: str | None = None, skip: int = 0, limit: int | None = None, descending: bool = False) -> DataFrame:
+    """Names of collections (a column ``name``) in a range, in order."""
     low, high = (endkey, startkey) if descending else (startkey, endkey)
-    rows = rows.where(F.col("name") >= low) if low is not None else rows
+    rows = names.where(F.col("name") >= low) if low is not None else names
     rows = rows.where(F.col("name") <= high) if high is not None else rows
     rows = rows.orderBy(F.col("name").desc() if descending else "name")
     rows = rows.offset(skip) if skip else rows
     return rows.limit(limit) if limit is not None else rows
 
 
-def database_updates(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(n, "updated") for n in names], "db_name string, type string")
+def database_updates(log: DataFrame) -> DataFrame:
+    """``db_name, type, seq``: collections that a log of writes (db_name, _seq) tells of, each with its last number."""
+    return log.groupBy("db_name").agg(F.max("_seq").alias("seq")).select("db_name", F.lit("updated").alias("type"), "seq")
 
 
 def update(docs: DataFrame, handler: Callable[[DataFrame], DataFrame]) -> DataFrame:

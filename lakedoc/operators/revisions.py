@@ -37,9 +37,17 @@ def winners(leaves: DataFrame) -> DataFrame:
 
 
 def leaves_of(revisions: DataFrame) -> DataFrame:
-    """Revisions that are no other revision's ancestor; equal ones once."""
-    older = revisions.select("_id", F.explode(F.slice("_rev_history", 2, REVS_LIMIT)).alias("_rev")).distinct()
-    return revisions.dropDuplicates(["_id", "_rev"]).join(older, ["_id", "_rev"], "left_anti").select(*revisions.columns)
+    """Revisions that are no other revision's ancestor; equal ones once.
+
+    One shuffle by id and no row per ancestor: the line of the winner takes most revisions away, and the few that are
+    left of each id are held against each other's lines.
+    """
+    one = Window.partitionBy("_id")
+    rows = revisions.repartition("_id").withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_rev").orderBy("_rev"))).where("_copy = 1")
+    rows = rows.withColumn("_line", F.max_by("_rev_history", rank()).over(one)).where(~F.array_contains(F.slice("_line", 2, REVS_LIMIT), F.col("_rev")))
+    older = F.slice("_rev_history", 2, REVS_LIMIT)
+    rows = rows.withColumn("_lines", F.collect_list(F.when(F.size(older) > 0, older)).over(one))
+    return rows.where(~F.exists("_lines", lambda line: F.array_contains(line, F.col("_rev")))).select(*[F.col(f"`{c}`") for c in revisions.columns])
 
 
 def conflicts(leaves: DataFrame, deleted: bool | None = None) -> DataFrame:
@@ -52,6 +60,9 @@ def conflicts(leaves: DataFrame, deleted: bool | None = None) -> DataFrame:
     return found.select("_id", "winner", F.filter("all", lambda r: r != F.col("winner")).alias("conflicts"))
 
 
+conflicts_of = conflicts
+
+
 def revisions_field(history="_rev_history") -> Column:
     """``{start, ids}`` of a history."""
     h = F.col(history) if isinstance(history, str) else history
@@ -65,16 +76,21 @@ def history_of(start, ids) -> Column:
 
 def missing_revisions(requested: DataFrame, revisions: DataFrame) -> DataFrame:
     """``_id, _rev`` of ``requested`` that the table neither holds nor has in a history."""
-    known = revisions.select("_id", F.explode("_rev_history").alias("_rev"))
-    return requested.select("_id", "_rev").distinct().join(known, ["_id", "_rev"], "left_anti")
+    return lacking(requested.select("_id", "_rev").distinct(), revisions)
+
+
+def lacking(rows: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Those of ``rows`` (_id, _rev, ...) whose revision stands in no history of the table; an anti-join by id that explodes nothing."""
+    held = revisions.select(F.col("_id").alias("_held_id"), F.col("_rev_history").alias("_held"))
+    return rows.join(held, (F.col("_id") == F.col("_held_id")) & F.array_contains("_held", F.col("_rev")), "left_anti")
 
 
 def revs_diff(requested: DataFrame, revisions: DataFrame) -> DataFrame:
     """``_id, missing, possible_ancestors``: what to send, and known leaves of lower generation to send it against."""
-    lacking = missing_revisions(requested, revisions).groupBy("_id").agg(F.sort_array(F.collect_set("_rev")).alias("missing"), F.max(generation("_rev")).alias("g"))
-    ours = leaves_of(revisions).select("_id", F.col("_rev").alias("leaf"))
-    both = lacking.join(ours, "_id", "left").groupBy("_id", "missing", "g")
-    return both.agg(F.sort_array(F.collect_set(F.when(generation("leaf") < F.col("g"), F.col("leaf")))).alias("possible_ancestors")).drop("g")
+    missing = missing_revisions(requested, revisions).groupBy("_id").agg(F.sort_array(F.collect_set("_rev")).alias("missing"), F.max(generation("_rev")).alias("g"))
+    ours = leaves_of(revisions.join(missing.select("_id"), "_id", "left_semi")).groupBy("_id").agg(F.collect_set("_rev").alias("leaves"))
+    lower = F.filter(F.coalesce("leaves", F.array().cast("array<string>")), lambda r: generation(r) < F.col("g"))
+    return missing.join(ours, "_id", "left").select("_id", "missing", F.sort_array(lower).alias("possible_ancestors"))
 
 
 def open_revs(leaves: DataFrame, doc_id: str, revs: Sequence[str] | None = None) -> DataFrame:
@@ -83,6 +99,53 @@ def open_revs(leaves: DataFrame, doc_id: str, revs: Sequence[str] | None = None)
     return found if revs is None else found.where(F.col("_rev").isin(list(revs)))
 
 
+def read_document(revisions: DataFrame, doc_id: str, *, rev: str | None = None, revs: bool = False, revs_info: bool = False, conflicts: bool = False, deleted_conflicts: bool = False, local_seq: bool = False) -> DataFrame:
+    """One row: the winner of a document, or the revision named (also an ancestor that is still stored), with what is asked about its revisions.
+
+    ``revs``: ``_revisions`` as ``{start, ids}``. ``revs_info``: each revision of its line with ``available``, ``deleted`` or ``missing``.
+    ``conflicts``, ``deleted_conflicts``: the other leaves that live or do not, highest first. ``local_seq``: its sequence number.
+    """
+    held = revisions.where(F.col("_id") == doc_id)
+    deleted = F.coalesce("_deleted", F.lit(False)) if "_deleted" in revisions.columns else F.lit(False)
+    row = winners(held) if rev is None else held.where(F.col("_rev") == rev).limit(1)
+    body = [F.col(f"`{c}`") for c in revisions.columns if c not in ("_rev_history", "_seq")]
+    out = row.select(*body, *[F.col("_rev_history")] * (revs or revs_info), *[F.col("_seq").alias("_local_seq")] * local_seq)
+    if revs:
+        out = out.withColumn("_revisions", revisions_field())
+    if revs_info:
+        state = held.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_rev", F.when(deleted, "deleted").otherwise("available").alias("state")))).alias("_state"))
+        out = out.join(state, "_id").withColumn("_revs_info", F.transform("_rev_history", lambda r: F.struct(r.alias("rev"), F.coalesce(F.try_element_at("_state", r), F.lit("missing")).alias("status")))).drop("_state")
+    for wanted, name, state in ((conflicts, "_conflicts", False), (deleted_conflicts, "_deleted_conflicts", True)):
+        if wanted:
+            out = out.join(conflicts_of(leaves_of(held), deleted=state).select("_id", F.col("conflicts").alias(name)), "_id", "left")
+    return out.drop("_rev_history")
+
+
+def put_local(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Results of writing local documents, which have no history: ``incoming`` with ``status`` and ``new_rev`` (``0-1``, ``0-2``, ...).
+
+    A document is written if its revision is the current one, or if there is none and it names none.
+    """
+    held = current.select(F.col("_id").alias("_cid"), F.col("_rev").alias("_crev"))
+    rows = incoming.join(held, F.col("_id") == F.col("_cid"), "left")
+    count = F.coalesce(F.regexp_extract("_crev", r"^0-(\d+)$", 1).try_cast("long"), F.lit(0))
+    rows = rows.withColumn("status", F.when(F.col("_rev").eqNullSafe(F.col("_crev")), "ok").otherwise("conflict"))
+    return rows.withColumn("new_rev", F.when(F.col("status") == "ok", F.concat(F.lit("0-"), (count + 1).cast("string")))).drop("_cid", "_crev")
+
+
+def delete_leaves(leaves: DataFrame, gone: DataFrame) -> DataFrame:
+    """Results of deleting leaves, winners or not: rows of ``gone`` (_id, _rev) with ``status``, ``new_rev`` and ``_rev_history``, for ``apply_writes``.
+
+    The tombstone follows the leaf it deletes, so other branches stay and the winner is found anew.
+    """
+    deleted = F.coalesce("_deleted", F.lit(False)) if "_deleted" in leaves.columns else F.lit(False)
+    held = leaves.select("_id", "_rev", deleted.alias("_was"), "_rev_history", F.lit(True).alias("_found"))
+    rows = gone.select("_id", "_rev").distinct().join(held, ["_id", "_rev"], "left").withColumn("_deleted", F.lit(True))
+    rows = rows.withColumn("status", F.when(F.col("_found").isNull() | F.col("_was"), "conflict").otherwise("ok"))
+    rows = rows.withColumn("new_rev", F.when(F.col("status") == "ok", next_rev(F.col("_rev"), [], F.col("_deleted"))))
+    return rows.withColumn("_rev_history", F.when(F.col("status") == "ok", F.slice(F.concat(F.array("new_rev"), F.col("_rev_history")), 1, REVS_LIMIT))).drop("_was", "_found")
+
+
 def next_rev(current: Column, body: Sequence[str], deleted: Column) -> Column:
     """One generation up, with a digest of the body, the state, and the revision it follows."""
     content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in body])) if body else F.lit("")

@@ -1,15 +1,17 @@
 """Full-text search over collections.
 
 Queries are built from ``Term``, ``Phrase``, ``Wildcard``, ``NumberRange`` and ``Everything`` with ``&``, ``|`` and ``~``, and compile to conditions
-over analysed token arrays, so a search is a scan with a filter, or, on an index written with
-``postings``, a join on terms. Facets, drill-down, groups and highlights are ordinary aggregations.
+over analysed token arrays, so a search is a scan with a filter. With postings that ``write_postings`` stored, sorted by field and
+term, the same queries read the postings of their words alone and join the documents by id; small tables need none.
+Facets, drill-down, groups and highlights are ordinary aggregations.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
 
@@ -27,6 +29,10 @@ def _is(word: str):
     return lambda t: t == word
 
 
+def _posting(field: str):
+    return lambda t, k: F.struct(F.lit(field).alias("field"), t.alias("term"), k.alias("pos"))
+
+
 class Query:
     def __and__(self, other: Query) -> Query:
         return Both(self, other)
@@ -40,6 +46,10 @@ class Query:
     def condition(self, index: SearchIndex) -> Column:
         raise NotImplementedError
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        """``id`` of the documents that match, each once, from postings; conditions that no word decides are looked up in the documents."""
+        return index.collection.live().docs.where(self.condition(index)).select(F.col(index.id_col).alias("id")).distinct()
+
     def words(self) -> list[tuple[str | None, str]]:
         """(field, word) that count for rank and highlights."""
         return []
@@ -65,6 +75,9 @@ class Term(Query):
         # whole words need looking for only where their letters stand at all
         return reduce(or_, [index.has_letters(self.field, w) for w in found]) & reduce(or_, [folded(c).rlike(whole_words(found)) for c in index.text_columns(self.field)])
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        return index.posted(self.field).where(F.col("term").isin(analyse(self.text))).select("id").distinct()
+
     def words(self) -> list[tuple[str | None, str]]:
         return [(self.field, w) for w in analyse(self.text)]
 
@@ -83,6 +96,12 @@ class Phrase(Query):
         joined = F.concat(F.lit(" "), F.array_join(index.tokens(self.field), " "), F.lit(" "))
         return reduce(and_, [index.has_letters(self.field, w) for w in found]) & joined.contains(f" {' '.join(found)} ")
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        """Each posting votes for the places where the phrase would begin; a place with all votes is one."""
+        found = analyse(self.text)
+        places = reduce(DataFrame.unionByName, [index.posted(self.field).where(F.col("term") == w).select("id", "field", (F.col("pos") - k).alias("at")) for k, w in enumerate(found)] or [index.posted(self.field).where("false").select("id", "field", F.lit(0).alias("at"))])
+        return places.groupBy("id", "field", "at").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") == len(found)).select("id").distinct()
+
     def words(self) -> list[tuple[str | None, str]]:
         return [(self.field, w) for w in analyse(self.text)]
 
@@ -97,6 +116,10 @@ class Wildcard(Query):
     def condition(self, index: SearchIndex) -> Column:
         return F.exists(index.tokens(self.field), lambda t: t.rlike(wildcard_pattern(self.pattern)))
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        start = re.match(r"[^*?]*", self.pattern)[0]  # the letters before the first wildcard narrow the range of terms that is read
+        return index.posted(self.field).where(F.col("term").startswith(start) & F.col("term").rlike(wildcard_pattern(self.pattern))).select("id").distinct()
+
 
 @dataclass
 class NumberRange(Query):
@@ -118,6 +141,9 @@ class Both(Query):
     def condition(self, index: SearchIndex) -> Column:
         return self.a.condition(index) & self.b.condition(index)
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        return self.a.ids(index).join(self.b.ids(index), "id", "left_semi")
+
     def words(self):
         return self.a.words() + self.b.words()
 
@@ -130,6 +156,9 @@ class Either(Query):
     def condition(self, index: SearchIndex) -> Column:
         return self.a.condition(index) | self.b.condition(index)
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        return self.a.ids(index).unionByName(self.b.ids(index)).distinct()
+
     def words(self):
         return self.a.words() + self.b.words()
 
@@ -141,6 +170,9 @@ class Without(Query):
     def condition(self, index: SearchIndex) -> Column:
         return ~F.coalesce(self.a.condition(index), F.lit(False))
 
+    def ids(self, index: SearchIndex) -> DataFrame:
+        return Everything().ids(index).join(self.a.ids(index), "id", "left_anti")
+
 
 @dataclass
 class IndexField:
@@ -157,6 +189,11 @@ class SearchIndex:
     collection: Collection
     fields: dict[str, IndexField]
     id_col: str = "_id"
+    stored: DataFrame | None = None  # postings as ``write_postings`` wrote them
+
+    def posted(self, field: str | None) -> DataFrame:
+        """Stored postings of one field or of all; the condition on the field reaches the scan."""
+        return self.stored if field is None else self.stored.where(F.col("field") == field)
 
     def text_columns(self, field: str | None) -> list[Column]:
         return [self.fields[field].column] if field is not None else [f.column for f in self.fields.values() if f.kind == "text"]
@@ -170,7 +207,8 @@ class SearchIndex:
 
     def hits(self, query: Query, drilldown: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
         """Documents that match; each drill-down keeps those whose field has one of its values."""
-        docs = self.collection.live().docs.where(query.condition(self))
+        docs = self.collection.live().docs
+        docs = docs.where(query.condition(self)) if self.stored is None else docs.join(query.ids(self).withColumnRenamed("id", "_hit"), F.col(self.id_col) == F.col("_hit"), "left_semi")
         for name, values in drilldown:
             docs = docs.where(self.fields[name].column.cast("string").isin(list(values)))
         return docs
@@ -180,16 +218,18 @@ class SearchIndex:
         words = list(dict.fromkeys(query.words()))
         if not words:
             return hits.withColumn("score", F.lit(1.0))
-        has = [F.count_if(F.array_contains(self.tokens(f), w)).alias(f"n{k}") for k, (f, w) in enumerate(words)]
-        sizes = [F.avg(F.size(self.tokens(f))).alias(f"s{k}") for k, (f, _) in enumerate(words)]
-        total = self.collection.live().docs.agg(F.count(F.lit(1)).alias("n"), *has, *sizes).first()  # one row, two figures a word
+        fields = list(dict.fromkeys(f for f, _ in words))
+        name = {f: f"_tokens{k}" for k, f in enumerate(fields)}  # analysed once a field
+        docs = self.collection.live().docs.select(*[self.tokens(f).alias(name[f]) for f in fields])
+        has = [F.count_if(F.array_contains(name[f], w)).alias(f"n{k}") for k, (f, w) in enumerate(words)]
+        sizes = [F.avg(F.size(name[f])).alias(f"s{k}") for k, (f, _) in enumerate(words)]
+        total = docs.agg(F.count(F.lit(1)).alias("n"), *has, *sizes).first()  # one row, two figures a word
         parts = []
         for k, (f, w) in enumerate(words):
             idf = math.log(1 + (total["n"] - total[f"n{k}"] + 0.5) / (total[f"n{k}"] + 0.5))
-            found = self.tokens(f)
-            tf = F.size(F.filter(found, _is(w)))
-            parts.append(F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size(found) / F.lit(max(total[f"s{k}"] or 1.0, 1e-9)))))
-        return hits.withColumn("score", sum(parts[1:], parts[0]))
+            tf = F.size(F.filter(name[f], _is(w)))
+            parts.append(F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size(name[f]) / F.lit(max(total[f"s{k}"] or 1.0, 1e-9)))))
+        return hits.withColumns({name[f]: self.tokens(f) for f in fields}).withColumn("score", sum(parts[1:], parts[0])).drop(*name.values())
 
     def _order(self, sort: Sequence[str]) -> list[Column]:
         found = []
@@ -198,8 +238,8 @@ class SearchIndex:
             found.append(c.desc_nulls_last() if s.startswith("-") else c.asc_nulls_first())
         return [*(found or [F.col("score").desc()]), F.col(self.id_col)]
 
-    def search(self, query: Query, *, sort: Sequence[str] = (), limit: int = DEFAULT_LIMIT, bookmark: int = 0, drilldown: Sequence = (), include_fields: Sequence[str] | None = None, highlight_fields: Sequence[str] = ()) -> DataFrame:
-        """A page of hits: the id, stored fields and highlights. ``bookmark``: rows to skip."""
+    def search(self, query: Query, *, sort: Sequence[str] = (), limit: int = DEFAULT_LIMIT, bookmark: int = 0, drilldown: Sequence = (), include_fields: Sequence[str] | None = None, highlight_fields: Sequence[str] = (), include_docs: bool = False) -> DataFrame:
+        """A page of hits: the id, stored fields, highlights and, if asked for, the document. ``bookmark``: rows to skip."""
         hits = self.hits(query, drilldown)
         rows = hits if sort else self.scored(query, hits)
         rows = rows.orderBy(*self._order(sort))
@@ -207,7 +247,8 @@ class SearchIndex:
         stored = [n for n, f in self.fields.items() if f.store and (include_fields is None or n in include_fields)]
         words = [w for _, w in query.words()]
         marks = [highlight(self.fields[n].column, words).alias(f"highlight_{n}") for n in highlight_fields]
-        return rows.select(F.col(self.id_col), *[self.fields[n].column.alias(n) for n in stored], *marks)
+        doc = [F.struct(*[F.col(f"`{c}`") for c in self.collection.docs.columns]).alias("doc")] if include_docs else []
+        return rows.select(F.col(self.id_col), *[self.fields[n].column.alias(n) for n in stored], *marks, *doc)
 
     def total(self, query: Query, drilldown: Sequence = ()) -> DataFrame:
         return self.hits(query, drilldown).agg(F.count(F.lit(1)).alias("total_rows"))
@@ -239,9 +280,13 @@ class SearchIndex:
         return first.join(totals, "group").select("group", "total_rows", "place", self.id_col)
 
     def postings(self) -> DataFrame:
-        """``field, term, id, tf, positions``: to be written sorted by field and term, and joined by searches over many terms."""
-        parts = [self.collection.live().docs.select(F.lit(n).alias("field"), F.col(self.id_col).alias("id"), F.posexplode(tokens(f.column)).alias("pos", "term")) for n, f in self.fields.items() if f.kind == "text"]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        return both.groupBy("field", "term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        """``field, term, id, pos`` of all text fields: a row per word, in one pass and without a shuffle."""
+        parts = [F.transform(tokens(f.column), _posting(n)) for n, f in self.fields.items() if f.kind == "text"]
+        docs = self.collection.live().docs.select(F.col(self.id_col).alias("id"), F.explode(F.concat(*parts)).alias("p"))
+        return docs.select("p.field", "p.term", "id", "p.pos")
+
+    def write_postings(self, path: str) -> SearchIndex:
+        """Store postings sorted by field and term, so that a search reads the row groups of its words alone, and search by them from then on."""
+        rows = self.postings().repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id", "pos")
+        rows.write.mode("overwrite").parquet(path)
+        return replace(self, stored=rows.sparkSession.read.schema(rows.schema).parquet(path))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,12 +81,12 @@ class View:
 
     def query(
         self, collection: Collection, *, startkey=None, endkey=None, key=None, keys: list | None = None, inclusive_end: bool = True, startkey_docid: str | None = None, endkey_docid: str | None = None,
-        descending: bool = False, reduce: bool | None = None, group: bool = False, group_level: int = 0, skip: int = 0, limit: int | None = DEFAULT_LIMIT, include_docs: bool = False, partition: str | None = None, sort: bool = True,
+        descending: bool = False, reduce: bool | None = None, group: bool = False, group_level: int = 0, skip: int = 0, limit: int | None = DEFAULT_LIMIT, include_docs: bool = False, partition: str | None = None, sort: bool = False,
     ) -> DataFrame:
         """Rows ``id, k0.., value`` of the map, or groups of the reduction.
 
         Omitted bounds are unbounded; a bound of ``(None,)`` is the key null. ``group_level`` wins over ``group``; without either, all
-        rows form one group, and there is none if no row is in range. ``limit=None`` returns all rows.
+        rows form one group, and there is none if no row is in range. ``limit=None`` returns all rows, in order only with ``sort``.
         """
         if partition is not None:
             collection = collection.partition(partition)
@@ -105,9 +106,22 @@ class View:
         out = out.offset(skip) if skip else out
         out = out.limit(limit) if limit is not None else out
         if include_docs and limit is not None and "id" in out.columns:
-            out = with_docs(out, collection.docs)
+            out = with_docs(out, collection.docs).orderBy(*order)  # a page is small; the join lost its order
         return out
 
+    def metadata(self, collection: Collection, *, startkey=None, endkey=None, key=None, inclusive_end: bool = True, descending: bool = False, skip: int = 0) -> DataFrame:
+        """``total_rows, offset, update_seq`` of a query without reduction: rows of the whole view, rows before the first one returned, and the last sequence number. One pass."""
+        start = key if key is not None else startkey
+        docs = collection.docs
+        seq = docs.agg(F.max("_seq")).first()[0] if "_seq" in docs.columns else None
+        rows = self.rows(collection)
+        if start is None:
+            before = F.lit(False)
+        else:
+            names = [c for c in rows.columns if c.startswith("k") and c[1:].isdigit()]
+            before = ~compare([F.col(c) for c in names], [rows.schema[c].dataType for c in names], _bound(start), True, less=descending)
+        return rows.agg(F.count(F.lit(1)).alias("total_rows"), F.least(F.count_if(before) + skip, F.count(F.lit(1))).alias("offset")).withColumn("update_seq", F.lit(seq).cast("long"))
+
     @staticmethod
     def in_range(rows: DataFrame, startkey, endkey, key, keys, inclusive_end, startkey_docid, endkey_docid, descending) -> DataFrame:
         names = [c for c in rows.columns if c.startswith("k") and c[1:].isdigit()]
@@ -142,7 +156,7 @@ class PythonView(View):
     """A view whose map no column expresses: ``function`` takes a document as a dict and yields (key, value) pairs.
 
     ``key`` and ``value`` are types; a key type of several fields is ``k0 type, k1 type`` and takes tuples. Documents for which the
-    function fails emit nothing. Only ``columns`` of the documents are sent to Python, in Arrow batches.
+    function fails emit nothing; ``failures``, an accumulator, counts them. Only ``columns`` of the documents are sent to Python, in Arrow batches.
     """
 
     emits: Sequence[Emit] = ()
@@ -150,12 +164,13 @@ class PythonView(View):
     key: str = "k0 string"
     value: str = "string"
     columns: Sequence[str] = ()
+    failures: Accumulator | None = None
 
     def rows(self, collection: Collection) -> DataFrame:
         import pandas as pd
 
         docs = collection.live().docs.select("_id", *self.columns)
-        function, n = self.function, len(self.key.split(","))
+        function, n, failures = self.function, len(self.key.split(",")), self.failures
         names = ["id", *[f"k{i}" for i in range(n)], "value"]
 
         def run(frames):
@@ -165,6 +180,8 @@ class PythonView(View):
                     try:
                         pairs = list(function(doc))
                     except Exception:  # the document is not the view's
+                        if failures is not None:
+                            failures.add(1)
                         continue
                     out.extend((doc["_id"], *(k if n > 1 else (k,)), v) for k, v in pairs)
                 yield pd.DataFrame(out, columns=names)
@@ -181,13 +198,15 @@ class GroupedReduce:
     """A reduction by a function that no aggregate expresses.
 
     ``partial`` takes a pandas DataFrame of (key columns, value) batches and returns partial values by key, ``final`` those of
-    one key: associative ones are reduced within tasks first. Without ``partial`` a key's rows meet in one call of ``final``.
+    one key: associative ones are reduced within tasks first. Without ``partial`` a key's rows meet in one call of ``final``, in one
+    task's memory, which ``gathers=True`` must allow: it is for keys of bounded size, never for the whole table.
     """
 
     final: Callable
     schema: str
     partial: Callable | None = None
     partial_schema: str | None = None
+    gathers: bool = False
 
 
 def reduced(rows: DataFrame, group: list[str], columns: list[str], how: str | GroupedReduce) -> DataFrame:
@@ -224,6 +243,8 @@ def sum_arrays(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, group: list[str], how: GroupedReduce) -> DataFrame:
+    if how.partial is None and not (how.gathers and group):
+        raise ValueError("a reduction without a partial step gathers its groups; allow it by gathers=True and group by a key")
     keyed = rows if group else rows.withColumn("_all", F.lit(0))
     by = group or ["_all"]
     if how.partial is not None:

@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 
 from ..operators import revisions as R
 from ..operators.collection import Collection
-from ..operators.registry import IndexRegistry, database_updates, databases
+from ..operators.registry import IndexRegistry, database_updates, databases, layout_sizes, lookup, write_indexed
 from ..operators.search import Everything, IndexField, NumberRange, Phrase, SearchIndex, Term, Wildcard
 from ..operators.views import Emit, GroupedReduce, PythonView, View, all_levels
 from ..sources.documents import as_attachments, attachment_references
 from ..streaming.changes import Feed, by_condition, by_id_table, by_ids, by_selector, design_only, follow, new_folder
+from ..streaming.materialise import maintain, maintained
 from ..streaming.replicate import common_checkpoint, replicate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,14 +103,22 @@ def find_ne_missing(spark, d):
     return events_json(spark, d).find({"props.k": {"$ne": 7}}, limit=None).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE props->>'$.k' IS NOT NULL AND props->>'$.absent' IS NULL")
+def _uneven(spark, d) -> Collection:
+    """Events of several shapes: ``k`` is missing, null, a string, or a number, and some have a list."""
+    n = F.col("event_id") % 5
+    text = F.when(n == 0, "{}").when(n == 1, '{"k": null}').when(n == 2, '{"k": "x"}').when(n == 3, '{"k": 4, "list": [1]}').otherwise(F.col("props"))
+    return Collection(table(spark, d, "events").select(F.col("event_id").cast("string").alias("_id"), "event_id", F.try_parse_json(text).alias("props")), order=("event_id",))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 IN (2, 4)")
 def find_exists(spark, d):
-    return events_json(spark, d).find({"props.k": {"$exists": True}, "props.absent": {"$exists": False}}, limit=None).select("event_id")
+    """A field that is null or missing does not exist."""
+    return _uneven(spark, d).find({"props.k": {"$exists": True}, "props.list": {"$exists": False}}, limit=None).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND event_id % 3 = 0")
+@query("SELECT event_id FROM events WHERE event_id % 5 = 3 OR (event_id % 5 = 4 AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE'))")
 def find_type(spark, d):
-    return events_json(spark, d).find({"props.k": {"$type": "number"}, "event_id": {"$mod": [3, 0]}}, limit=None).select("event_id")
+    return _uneven(spark, d).find({"props.k": {"$type": "number"}}, limit=None).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE CAST(props->>'$.k' AS INT) >= 50")
@@ -199,25 +208,45 @@ def find_default_limit(spark, d):
     return of(spark, d, "customer").find({"c_mktsegment": "MACHINERY"}, fields=["c_custkey", "c_name"], limit=0).drop("_id")
 
 
-@query("SELECT 'by_status' AS name, 25 AS limit_rows, true AS pushed UNION ALL SELECT '_all_docs', 10, true")
+@query("SELECT true AS pushed, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 5")
 def find_explain(spark, d):
-    """The chosen index of two selectors, and whether the condition reaches the Parquet scan."""
-    r = IndexRegistry()
-    r.create(["o_orderstatus"], name="by_status")
-    c = Collection.from_table(table(spark, d, "orders"), "orders", ["o_orderkey"])
-    c.indexes = r.indexes
-    found = [c.explain({"o_orderstatus": "F"}), c.explain({"o_totalprice": {"$gt": 5}}, limit=10)]
-    return spark.createDataFrame([(e["index"]["name"], e["limit"], "PushedFilters: [Is" in e["plan"]) for e in found], "name string, limit_rows int, pushed boolean")
+    """Whether the plan that ``explain`` shows takes both conditions to the Parquet scan, beside what the query finds."""
+    c = of(spark, d, "orders")
+    selector = {"o_orderstatus": "F", "o_totalprice": {"$gt": 5}}
+    plan = c.explain(selector, limit=None)["plan"]
+    pushed = "EqualTo(o_orderstatus,F)" in plan and "GreaterThan(o_total" in plan
+    return c.find(selector, limit=None).agg(F.count(F.lit(1)).alias("n")).select(F.lit(pushed).alias("pushed"), "n")
 
 
-@query("SELECT '_all_docs' AS name, 'special' AS type UNION ALL SELECT 'by_status', 'json'")
+@query("SELECT name, type, n FROM (SELECT '_all_docs' AS name, 'special' AS type, count(*) AS n FROM orders UNION ALL SELECT 'by-o_custkey', 'json', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'by_status', 'json', count(DISTINCT o_orderstatus) FROM orders)")
 def index_registry(spark, d):
+    """The registered indexes, each with how many keys it tells apart in the orders."""
     r = IndexRegistry()
     r.create(["o_orderstatus"], name="by_status")
     r.create(["o_orderstatus"], name="by_status")
-    r.create(["o_custkey"], name="gone", ddoc="_design/x")
+    r.create(["o_custkey"])
+    r.create(["o_totalprice"], name="gone", ddoc="_design/x")
     r.delete("_design/x", "gone")
-    return r.frame(spark).select("name", "type")
+    docs = of(spark, d, "orders").docs
+    keys = F.explode(F.array(*[F.struct(F.lit(i["name"]).alias("name"), F.concat_ws(":", *[F.col(c).cast("string") for c in i["fields"]]).alias("key")) for i in [{"name": "_all_docs", "fields": ["_id"]}, *r.indexes]]))
+    found = docs.select(keys.alias("e")).select("e.*").groupBy("name").agg(F.countDistinct("key").alias("n"))
+    return r.frame(spark).join(found, "name").select("name", "type", "n")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
+def index_lookup(spark, d):
+    """Equality on a layout sorted by the field."""
+    path = new_folder(spark, "by-custkey")
+    write_indexed(table(spark, d, "orders"), path, ["o_custkey"])
+    return lookup(spark, path, {"o_custkey": 7}).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT count(*) AS rows, true AS sized FROM orders")
+def index_sizes(spark, d):
+    """Rows of a layout, and whether its files have a size."""
+    path = new_folder(spark, "by-custkey")
+    write_indexed(table(spark, d, "orders"), path, ["o_custkey"])
+    return layout_sizes(spark, path).select("rows", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("sized"))
 
 
 # -- ids -----------------------------------------------------------------------------------
@@ -255,9 +284,10 @@ def get_document(spark, d):
 
 def _mixed(spark, d) -> Collection:
     """Nations and suppliers in one collection: two partitions by id prefix."""
-    n = of(spark, d, "nation").docs.select("_id", F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("number"))
-    s = of(spark, d, "supplier").docs.select("_id", F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("number"))
-    return Collection(n.unionByName(s))
+    n, s = of(spark, d, "nation"), of(spark, d, "supplier")
+    n.docs = n.docs.select("_id", F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("number"))
+    s.docs = s.docs.select("_id", F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("number"))
+    return Collection.of_parts([n, s])
 
 
 @query("SELECT 'supplier:' || s_suppkey AS id FROM supplier WHERE 'supplier:' || s_suppkey >= 'supplier:5' ORDER BY 1 LIMIT 12")
@@ -280,26 +310,48 @@ def collection_info(spark, d):
     return Collection(Feed(_log(spark, d)).events(), order=("_id",)).info()
 
 
-@query("SELECT name FROM (VALUES ('beta'), ('gamma')) v(name)")
+@query("SELECT DISTINCT event_type AS name FROM events WHERE event_type BETWEEN 'c' AND 'q'")
 def list_databases(spark, d):
-    return databases(spark, ["alpha", "beta", "gamma", "omega"], startkey="b", endkey="h")
+    """Names in a range; each kind of event is a collection of its own."""
+    return databases(table(spark, d, "events").select(F.col("event_type").alias("name")).distinct(), startkey="c", endkey="q")
 
 
-@query("SELECT db_name, 'updated' AS type FROM (VALUES ('a'), ('b')) v(db_name)")
+@query("SELECT event_type AS db_name, 'updated' AS type, max(event_id) AS seq FROM events GROUP BY event_type")
 def list_database_updates(spark, d):
-    return database_updates(spark, ["a", "b"])
+    e = table(spark, d, "events")
+    return database_updates(e.select(F.col("event_type").alias("db_name"), F.col("event_id").alias("_seq")))
+
 
+def _special(spark, d) -> Collection:
+    """Nations as documents of three kinds, by their region."""
+    n = table(spark, d, "nation")
+    head = F.when(F.col("n_regionkey") == 0, "_design/").when(F.col("n_regionkey") == 1, "_local/").otherwise("")
+    return Collection(n.select(F.concat(head, "n_name").alias("_id"), F.concat(F.lit("0-"), (F.col("n_nationkey") + 1).cast("string")).alias("_rev"), "n_nationkey"))
 
-@query("SELECT '_design/v1' AS id UNION ALL SELECT '_design/v2'")
+
+@query("SELECT '_design/' || n_name AS id FROM nation WHERE n_regionkey = 0")
 def design_documents(spark, d):
-    rows = [("_design/v1",), ("_design/v2",), ("_local/c",), ("x",)]
-    return Collection(spark.createDataFrame(rows, "_id string")).design_docs().select("id")
+    return _special(spark, d).design_docs().select("id")
 
 
-@query("SELECT '_local/b' AS id UNION ALL SELECT '_local/a'")
+@query("SELECT '_local/' || n_name AS id FROM nation WHERE n_regionkey = 1 ORDER BY 1 DESC LIMIT 3")
 def local_documents(spark, d):
-    rows = [("_design/v1",), ("_local/a",), ("_local/b",), ("x",)]
-    return Collection(spark.createDataFrame(rows, "_id string")).local_docs(descending=True, limit=5).select("id")
+    return _special(spark, d).local_docs(descending=True, limit=3).select("id")
+
+
+@query("SELECT '_local/' || n_name AS _id, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'conflict' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN '0-' || (n_nationkey + 2) END AS new_rev FROM nation WHERE n_regionkey = 1 UNION ALL SELECT '_local/new', 'ok', '0-1'")
+def local_documents_put(spark, d):
+    """Local documents have no history: their revisions count up. Every second write names a stale one."""
+    held = _special(spark, d).docs.where(F.col("_id").startswith("_local/"))
+    incoming = held.select("_id", F.when(F.col("n_nationkey") % 2 == 0, F.col("_rev")).otherwise("0-0").alias("_rev")).unionByName(spark.createDataFrame([("_local/new", None)], "_id string, _rev string"))
+    return R.put_local(held, incoming).select("_id", "status", "new_rev")
+
+
+@query("WITH l AS (SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id), k AS (SELECT DISTINCT o_custkey::VARCHAR AS key FROM orders) SELECT key, id, t = 'purchase' AS deleted, CASE WHEN id IS NULL THEN 'not_found' END AS error FROM k LEFT JOIN l ON key = id")
+def all_docs_keys_deleted(spark, d):
+    """Requested keys of deleted documents say so; only unknown ones are not found."""
+    keys = table(spark, d, "orders").select(F.lit(0).alias("pos"), F.col("o_custkey").cast("string").alias("key")).distinct()
+    return Collection(Feed(_log(spark, d)).events()).all_docs_by_keys(keys).select("key", "id", "deleted", "error")
 
 
 # -- views ---------------------------------------------------------------------------------
@@ -315,10 +367,10 @@ def all_docs_queries(spark, d):
     return a.select(F.lit(1).alias("part"), "id").unionByName(b.select(F.lit(2).alias("part"), "id"))
 
 
-@query("SELECT 'md5-' || to_base64(unhex(md5(n_comment))) AS digest, octet_length(encode(n_comment))::BIGINT AS length, count(*) AS refs FROM (SELECT left(c_mktsegment, 4) AS n_comment FROM customer) GROUP BY ALL")
+@query("SELECT 'md5-' || to_base64(unhex(md5(n_comment))) AS digest, octet_length(encode(n_comment))::BIGINT AS length, count(*) AS refs FROM (SELECT c_mktsegment AS n_comment FROM customer) GROUP BY ALL")
 def attachments_by_digest(spark, d):
     """Each content once, with how many documents attach it."""
-    rows = of(spark, d, "customer").docs.select("_id", F.lit("segment.txt").alias("name"), F.encode(F.left("c_mktsegment", F.lit(4)), "UTF-8").alias("content"))
+    rows = of(spark, d, "customer").docs.select("_id", F.lit("segment.txt").alias("name"), F.encode("c_mktsegment", "UTF-8").alias("content"))
     return attachment_references(as_attachments(rows))
 
 
@@ -412,6 +464,22 @@ def view_reduce_page(spark, d):
     return View([Emit(F.col("c_nationkey"))], "_count").query(of(spark, d, "customer"), startkey=3, endkey=9, group=True, skip=1, limit=4)
 
 
+@query("SELECT (SELECT count(*) FROM orders) AS total_rows, (SELECT count(*) FROM orders WHERE o_totalprice < 100000) + 5 AS offset, NULL::BIGINT AS update_seq")
+def view_metadata(spark, d):
+    return View([Emit(F.col("o_totalprice"))]).metadata(of(spark, d, "orders"), startkey=100000, skip=5)
+
+
+@query("WITH l AS (SELECT arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM events GROUP BY user_id) SELECT t AS k0, count(*) AS n, round(sum(v), 3) AS total FROM l WHERE t NOT IN ('purchase', 'view') GROUP BY t")
+def view_materialised(spark, d):
+    """A view of the users' latest events, kept as a table by a stream that drains the log; deleted and filtered ones are not in it."""
+    out, progress = (new_folder(spark, name) for name in ("view", "progress"))
+    events = table(spark, d, "events")
+    stream = _as_log(spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet"))
+    view = View([Emit(F.col("event_type"), F.col("value"), when=F.col("event_type") != "view")])
+    maintain(view, stream, out, progress).awaitTermination()
+    return maintained(spark, out).groupBy("k0").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
 @query("SELECT o_orderstatus AS k0, true AS within FROM orders GROUP BY ALL")
 def view_approx_distinct(spark, d):
     """Estimates are within five hundredths of the exact count in every group."""
@@ -538,7 +606,7 @@ def _chains(spark, d) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     one = F.concat_ws("-", F.row_number().over(w).cast("string"), F.md5(F.col("event_id").cast("string")))
     e = e.withColumn("_rev", one)
-    history = F.reverse(F.collect_list("_rev").over(w.rowsBetween(-20, 0)))
+    history = F.reverse(F.collect_list("_rev").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return e.select(F.col("user_id").cast("string").alias("_id"), "_rev", history.alias("_rev_history"), "value", F.col("event_id").alias("_seq"))
 
 
@@ -562,10 +630,33 @@ def rev_history_field(spark, d):
     return done.select("_id", R.revisions_field().alias("r")).select("_id", "r.start", F.size("r.ids").alias("n"))
 
 
-@query("SELECT '1' AS _id, '2-b' AS _rev UNION ALL SELECT '1', '2-a'")
+@query(f"WITH {_REV_SQL} SELECT id AS _id, g || '-' || h AS _rev FROM r WHERE id = '7'")
 def rev_open(spark, d):
-    rows = [("1", "2-a", ["2-a", "1-x"]), ("1", "2-b", ["2-b", "1-x"]), ("1", "1-x", ["1-x"]), ("2", "1-y", ["1-y"])]
-    return R.open_revs(R.leaves_of(spark.createDataFrame(rows, "_id string, _rev string, _rev_history array<string>")), "1").select("_id", "_rev")
+    """All leaves of one document."""
+    return R.open_revs(R.leaves_of(_revisions(spark, d)), "7").select("_id", "_rev")
+
+
+@query(f"WITH {_REV_SQL}, x AS (SELECT * FROM r WHERE id = '7'), w AS (SELECT arg_max(g || '-' || h, (g, h)) AS w, arg_max(g, (g, h)) AS g, arg_max(event_id, (g, h)) AS e FROM x) SELECT '7' AS _id, w AS _rev, w.g AS start, (SELECT count(*) FROM x WHERE NOT del AND g || '-' || h <> w) AS conflicts, (SELECT count(*) FROM x WHERE del AND g || '-' || h <> w) AS deleted_conflicts, e AS _local_seq FROM w")
+def document_with_revisions(spark, d):
+    """One read of a document with all that is known of its revisions."""
+    found = R.read_document(_revisions(spark, d), "7", revs=True, revs_info=True, conflicts=True, deleted_conflicts=True, local_seq=True)
+    return found.select("_id", "_rev", "_revisions.start", F.size("_conflicts").cast("long").alias("conflicts"), F.size("_deleted_conflicts").cast("long").alias("deleted_conflicts"), "_local_seq")
+
+
+@query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events WHERE user_id = 7) SELECT n || '-' || md5(event_id::VARCHAR) AS rev, CASE WHEN n = m THEN 'available' ELSE 'missing' END AS status FROM r")
+def document_revs_info(spark, d):
+    """The line of a document whose older revisions are known by name only."""
+    found = R.read_document(_leaves(spark, d), "7", revs_info=True)
+    return found.select(F.explode("_revs_info").alias("i")).select("i.rev", "i.status")
+
+
+@query(f"WITH {_REV_SQL}, x AS (SELECT id, CASE WHEN event_id % 7 = 0 AND NOT del THEN g + 1 ELSE g END AS g, del OR event_id % 7 = 0 AS del FROM r) SELECT id AS _id, count(*) AS leaves, count(*) FILTER (del) AS gone, max(g)::INT AS generation FROM x GROUP BY id")
+def delete_conflict_leaves(spark, d):
+    """Leaves are deleted, winners or not; their tombstones are leaves, and winners are found anew."""
+    leaves = _revisions(spark, d)
+    done = R.apply_writes(leaves, R.delete_leaves(leaves, leaves.where("_seq % 7 = 0")))
+    winners = R.winners(done).select("_id", R.generation("_rev").alias("generation"))
+    return done.groupBy("_id").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("_deleted").alias("gone")).join(winners, "_id").select("_id", "leaves", "gone", "generation")
 
 
 @query(
@@ -677,10 +768,15 @@ def changes_view_filter(spark, d):
     return Feed(_log(spark, d), [by_condition(view.emits[0].when)]).changes(limit=None).select("seq", "id")
 
 
-@query("SELECT 3::BIGINT AS seq, '_design/v' AS id")
+@query("SELECT max(event_id) AS seq, '_design/' || user_id AS id FROM events WHERE user_id % 10 = 0 GROUP BY user_id")
 def changes_design_only(spark, d):
-    log = spark.createDataFrame([(1, "_design/v", "1-a"), (2, "x", "1-b"), (3, "_design/v", "2-c")], "_seq long, _id string, _rev string")
-    return Feed(log, [design_only]).changes().select("seq", "id")
+    log = _log(spark, d).withColumn("_id", F.concat(F.when(F.col("_id").cast("long") % 10 == 0, "_design/").otherwise(""), "_id"))
+    return Feed(log, [design_only]).changes(limit=None).select("seq", "id")
+
+
+@query("SELECT max(event_id) AS last_seq, 0::BIGINT AS pending FROM events")
+def changes_since_now(spark, d):
+    return Feed(_log(spark, d)).pending(since="now")
 
 
 @query(f"WITH {_LAST} SELECT seq, id, t = 'purchase' AS deleted FROM l")
@@ -721,15 +817,19 @@ def replicate_filtered(spark, d):
     return replicate(_leaves(spark, d), _leaves(spark, d, before=4000), filters=[wanted]).select("_id", "_rev")
 
 
-@query("SELECT 70::BIGINT AS since")
+@query("SELECT coalesce(max(o_orderkey), 0) AS since FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus <> 'P') AND o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus <> 'P'))")
 def replication_checkpoint(spark, d):
-    ours = spark.createDataFrame([("s1", 40, 1), ("s2", 70, 2), ("s3", 90, 3)], "session_id string, last_seq long, at int")
-    return common_checkpoint(ours, ours.where("session_id <> 's3'"))
+    """Orders as sessions: the newest that the other side, which lacks some, knows as well."""
+    ours = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderkey").alias("last_seq"), F.struct("o_orderdate", "o_orderkey").alias("at"), "o_orderstatus")
+    return common_checkpoint(ours, ours.where("o_orderstatus <> 'P'"))
 
 
 # -- search --------------------------------------------------------------------------------
 
 
+_STOPS = """('a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of', 'on', 'or', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with')"""
+
+
 def _index(spark, d) -> SearchIndex:
     c = of(spark, d, "documents")
     return SearchIndex(c, {"text": IndexField(F.col("text")), "lang": IndexField(F.col("lang"), store=True, facet=True), "source": IndexField(F.col("source"), store=True, facet=True), "n_chars": IndexField(F.col("n_chars"), kind="number", store=True)}, id_col="doc_id")
@@ -814,15 +914,49 @@ def search_sort_page(spark, d):
     return _index(spark, d).search(Term("fr", "lang"), sort=["-n_chars"], limit=10, bookmark=5, include_fields=["lang", "n_chars"])
 
 
+_BM25 = rf"""WITH {_TOK}, k AS (SELECT doc_id, list_filter(w, lambda x: x NOT IN _STOPS_) AS w FROM t),
+f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'tion')) AS a, len(list_filter(w, lambda x: x = 'ing')) AS b FROM k),
+s AS (SELECT avg(n) AS size, ln(1 + (count(*) - count(*) FILTER (a > 0) + 0.5) / (count(*) FILTER (a > 0) + 0.5)) AS ia, ln(1 + (count(*) - count(*) FILTER (b > 0) + 0.5) / (count(*) FILTER (b > 0) + 0.5)) AS ib FROM f),
+x AS (SELECT doc_id, ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / size)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / size)) AS score FROM f, s WHERE a + b > 0)
+SELECT doc_id, round(score, 6) AS score FROM x""".replace("_STOPS_", _STOPS)
+
+
+@query(_BM25)
+def search_scored(spark, d):
+    """The score of every hit, whose order ``search`` pages through."""
+    index = _index(spark, d)
+    query = Term("tion ing", "text")
+    return index.scored(query, index.hits(query)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(rf"WITH {_TOK} SELECT doc_id, n_chars AS doc_chars FROM t WHERE list_contains(w, 'que') ORDER BY n_chars, doc_id LIMIT 25")
+def search_include_docs(spark, d):
+    return _index(spark, d).search(Term("que", "text"), sort=["n_chars"], include_docs=True).select("doc_id", F.col("doc.n_chars").alias("doc_chars"))
+
+
+@query(rf"WITH {_TOK}, k AS (SELECT *, list_filter(w, lambda x: x NOT IN _STOPS_) AS v FROM t) SELECT doc_id FROM k WHERE (list_contains(v, 'que') OR list_contains(v, 'ing')) AND NOT (list_contains(v, 'die') AND n_chars < 2000) OR contains(' ' || array_to_string(v, ' ') || ' ', ' rights reserved ') OR len(list_filter(v, lambda x: regexp_full_match(x, 'ret.*ing'))) > 0".replace("_STOPS_", _STOPS))
+def search_by_postings(spark, d):
+    """Words, a phrase, a wildcard and a range, answered from stored postings."""
+    index = _index(spark, d).write_postings(new_folder(spark, "postings"))
+    query = ((Term("que", "text") | Term("ing", "text")) & ~(Term("die", "text") & NumberRange("n_chars", high=2000))) | Phrase("rights reserved", "text") | Wildcard("ret*ing", "text")
+    return index.hits(query).select("doc_id")
+
+
 @query()
 def search_ranked(spark, d):
     return _index(spark, d).search(Term("tion ing", "text"), limit=25, highlight_fields=["text"])
 
 
-@query(rf"WITH {_TOK} SELECT x AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS x FROM t) WHERE x IN ('que', 'und', 'tion') GROUP BY x")
+_WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN {})"
+
+
+@query(
+    "WITH f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS field, {_WORDS.format(c, _STOPS)} AS w FROM documents" for c in ("text", "lang", "source")) + "), p AS (SELECT doc_id, field, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM f) "
+    "SELECT field, term, doc_id, pos::INT AS pos FROM p"
+)
 def search_postings(spark, d):
-    postings = _index(spark, d).postings().where(F.col("term").isin("que", "und", "tion") & (F.col("field") == "text"))
-    return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    """All postings of all text fields."""
+    return _index(spark, d).postings().withColumnRenamed("id", "doc_id")
 
 
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''))::INT AS n FROM documents")

@@ -18,6 +18,7 @@ from ..functions.fields import Fields
 from ..functions.selector import matches
 
 DEFAULT_LIMIT = 1000
+BROADCAST_ROWS = 10_000  # pages of more rows are joined as Spark sees fit
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -55,16 +56,24 @@ class Feed:
     filters: Sequence[Callable[[DataFrame], DataFrame]] = ()
     leaves: DataFrame | None = None
 
-    def events(self, since: int = 0) -> DataFrame:
-        rows = latest(self.log.where(F.col("_seq") > since))
+    def events(self, since: int | str = 0) -> DataFrame:
+        """``since``: a sequence number, or ``now`` for what comes after the log's end, which is nothing yet."""
+        rows = latest(self.log.where(F.lit(False) if since == "now" else F.col("_seq") > since))
         for f in self.filters:
             rows = f(rows)
         return rows
 
-    def changes(self, *, since: int = 0, limit: int | None = DEFAULT_LIMIT, descending: bool = False, include_docs: bool = False) -> DataFrame:
-        rows = self.events(since)
+    def changes(self, *, since: int | str = 0, limit: int | None = DEFAULT_LIMIT, descending: bool = False, include_docs: bool = False) -> DataFrame:
+        order = F.desc("_seq") if descending else F.asc("_seq")
+        if limit is not None and not self.filters and since != "now":
+            # only ids and numbers are aggregated; the page's rows are fetched by number, and it has at most ``limit`` of them
+            log = self.log.where(F.col("_seq") > since)
+            page = log.groupBy("_id").agg(F.max("_seq").alias("_seq")).orderBy(order).limit(limit)
+            rows = log.join(F.broadcast(page) if limit <= BROADCAST_ROWS else page, ["_id", "_seq"], "left_semi")
+        else:
+            rows = self.events(since)
         if limit is not None:
-            rows = rows.orderBy(F.desc("_seq") if descending else "_seq").limit(limit)
+            rows = rows.orderBy(order).limit(limit)
         revs = F.array(F.col("_rev"))
         if self.leaves is not None:
             every = self.leaves.groupBy("_id").agg(F.sort_array(F.collect_set("_rev"), asc=False).alias("_revs"))
@@ -73,17 +82,21 @@ class Feed:
         doc = [F.struct(*[F.col(f"`{c}`") for c in self.log.columns]).alias("doc")] if include_docs else []
         return rows.select(F.col("_seq").alias("seq"), F.col("_id").alias("id"), revs.alias("changes"), gone.alias("deleted"), *doc)
 
-    def pending(self, *, since: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        """``last_seq, pending``: where a page ends, and how many changes follow it."""
-        page = self.changes(since=since, limit=limit).agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"))
-        total = self.events(since).agg(F.count(F.lit(1)).alias("total"))
-        return page.join(total).select(F.coalesce("last_seq", F.lit(since).cast("long")).alias("last_seq"), (F.col("total") - F.col("n")).alias("pending"))  # one row each
+    def pending(self, *, since: int | str = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
+        """``last_seq, pending``: where a page ends, and how many changes follow it. ``now`` is the log's last number."""
+        if since == "now":
+            return self.log.agg(F.coalesce(F.max("_seq"), F.lit(0).cast("long")).alias("last_seq")).withColumn("pending", F.lit(0).cast("long"))
+        numbers = self.events(since).select("_seq")
+        page = numbers.orderBy("_seq").limit(limit).select("_seq", F.lit(1).alias("n"))
+        both = numbers.select("_seq", F.lit(0).alias("n")).unionByName(page)  # the feed below is one exchange, which Spark reuses
+        return both.agg(F.max(F.when(F.col("n") == 1, F.col("_seq"))).alias("last_seq"), (F.count_if(F.col("n") == 0) - F.count_if(F.col("n") == 1)).alias("pending")).select(F.coalesce("last_seq", F.lit(since).cast("long")).alias("last_seq"), "pending")
 
 
 def follow(log: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, filters: Sequence[Callable[[DataFrame], DataFrame]] = (), available_now: bool = True):
     """A continuous feed: ``sink`` gets each micro-batch's latest events, filtered, in order of nothing; the checkpoint resumes it.
 
-    ``available_now`` drains what there is and stops, which is also how a long poll is made.
+    ``available_now`` drains what there is and stops, which is also how a long poll is made; a caller that waits for
+    news no longer than some seconds calls ``awaitTermination`` with them on a query that goes on, and then ``stop``.
     """
 
     def deliver(batch: DataFrame, number: int) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.revisions import leaves_of, merge_revisions, missing_revisions
+from ..operators.revisions import lacking, leaves_of, merge_revisions
 
 
 def replicate(source: DataFrame, target: DataFrame, *, since: int = 0, filters: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
@@ -27,7 +27,7 @@ def to_send(source: DataFrame, target: DataFrame, *, since: int = 0, filters: Se
     rows = source.where(F.col("_seq") > since) if since and "_seq" in source.columns else source
     for f in filters:
         rows = f(rows)
-    return rows.join(missing_revisions(rows, target), ["_id", "_rev"], "left_semi").select(*source.columns)
+    return lacking(rows, target).select(*source.columns)
 
 
 def replication_id(source: str, target: str, **options) -> str:

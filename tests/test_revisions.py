@@ -134,3 +134,45 @@ def test_replicate_stream_is_idempotent(spark, tmp_path):
     assert ids(read_target(spark, target, table.schema)) == [("a", "2-y"), ("b", "1-b")]
     run("cp2")  # a replay from the start sends nothing new
     assert ids(read_target(spark, target, table.schema)) == [("a", "2-y"), ("b", "1-b")]
+
+
+def test_leaves_take_one_shuffle_and_explode_nothing(spark):
+    table = revs(spark, ("a", ["1-x"], False, 1), ("a", ["2-y", "1-x"], False, 2), ("b", ["3-c", "2-b", "1-a"], False, 3), ("b", ["2-b", "1-a"], False, 3), ("b", ["2-z", "1-a"], False, 4), ("b", ["3-q", "2-z"], True, 5))
+    leaves = R.leaves_of(table)
+    assert ids(leaves) == [("a", "2-y"), ("b", "3-c"), ("b", "3-q")]
+    plan = R.leaves_of(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
+
+
+def test_deleting_a_losing_leaf_keeps_the_other(spark):
+    leaves = revs(spark, ("a", ["2-x", "1-a"], False, 1), ("a", ["2-y", "1-a"], False, 2))
+    gone = spark.createDataFrame([("a", "2-y"), ("a", "9-n"), ("none", "1-a")], "_id string, _rev string")
+    results = R.delete_leaves(leaves, gone)
+    assert sorted((r["_rev"], r["status"]) for r in results.collect()) == [("1-a", "conflict"), ("2-y", "ok"), ("9-n", "conflict")]
+    done = R.apply_writes(leaves, results)
+    assert sorted((r["_rev"].split("-")[0], r["_deleted"]) for r in done.collect()) == [("2", False), ("3", True)]
+    assert [r["status"] for r in R.delete_leaves(done.where("_deleted"), done.where("_deleted")).collect()] == ["conflict"]
+
+
+def test_id_conditions_reach_the_scan(spark, sf):
+    from lakedoc.operators.collection import Collection
+    from lakedoc.plans.queries import _mixed, of
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = lambda df: df._jdf.queryExecution().toString()
+        orders = of(spark, sf, "orders")
+        assert "EqualTo(o_orderkey,7)" in plan(orders.get("orders:7"))
+        some = orders.all_docs(startkey="orders:10", endkey="orders:2")
+        assert "PushedFilters: [Or(" in plan(some)
+        every = sorted(f"orders:{r[0]}" for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
+        for low, high in (("orders:10", "orders:2"), ("orders:", None), (None, "orders:5"), ("orders:3x", "orders:4:"), ("a", "z"), ("orders:99", "orders:1")):
+            got = sorted(r["id"] for r in orders.all_docs(startkey=low, endkey=high).collect())
+            assert got == [i for i in every if (low is None or i >= low) and (high is None or i <= high)], (low, high)
+        part = plan(_mixed(spark, sf).partition("nation").docs)
+        assert "nation" in part and "supplier.parquet" not in part
+        odd = Collection.from_table(spark.createDataFrame([(-5,), (0,), (12,), (None,), (10**17,)], "k long"), "p", ["k"])
+        assert [r["k"] for r in odd.get("p:-5").collect()] == [-5] and odd.get("p:05").count() == 0 and odd.get("q:12").count() == 0
+        assert sorted(r["id"] for r in odd.all_docs(startkey="p:-", endkey="p:1").collect()) == ["p:-5", "p:0"]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")

@@ -61,8 +61,17 @@ def test_rank_and_highlight(people):
 
 
 def test_postings(people):
-    got = {(r.term, r.id): (r.tf, r.positions) for r in people.postings().where("field = 'bio'").collect()}
-    assert got["tea", "doc1"] == (1, [3]) and ("the", "doc5") not in got
+    got = {(r.term, r.id, r.pos) for r in people.postings().where("field = 'bio'").collect()}
+    assert ("tea", "doc1", 3) in got and not [x for x in got if x[0] == "the"]
+
+
+def test_stored_postings_find_what_a_scan_finds(people, tmp_path):
+    stored = people.write_postings(f"file://{tmp_path}/p")
+    queries = [Term("tea"), Term("tea", "bio"), Term("the"), Phrase("green tea", "bio"), Phrase("tea green"), Wildcard("t*a", "bio"), Term("tea") & ~Term("green"), ~Term("tea"), Term("nothing here") | Phrase("", "bio")]
+    for q in queries:
+        assert sorted(r[0] for r in stored.hits(q).select(people.id_col).collect()) == sorted(r[0] for r in people.hits(q).select(people.id_col).collect()), q
+    plan = stored.hits(Term("tea", "bio"))._jdf.queryExecution().toString()
+    assert "EqualTo(field,bio)" in plan and "EqualTo(term,tea)" in plan
 
 
 def test_analysis(spark):

@@ -113,9 +113,12 @@ def test_approximate_distinct(spark):
 def test_custom_reduce(hosts):
     import pandas as pd
 
-    how = GroupedReduce(lambda key, f: pd.DataFrame([[*key, int(f["value"].prod())]]), "product long")
+    how = GroupedReduce(lambda key, f: pd.DataFrame([[*key, int(f["value"].prod())]]), "product long", gathers=True)
     assert rows(View([Emit(F.col("os"), F.col("v"))], how).query(hosts, group=True)) == [("bsd", 4), ("linux", 6)]
-    assert rows(View([Emit(F.col("os"), F.col("v"))], how).query(hosts)) == [(24,)]
+    with pytest.raises(ValueError, match="gathers"):  # the whole table in one call
+        View([Emit(F.col("os"), F.col("v"))], how).query(hosts)
+    with pytest.raises(ValueError, match="gathers"):
+        View([Emit(F.col("os"), F.col("v"))], GroupedReduce(how.final, how.schema)).query(hosts, group=True)
 
 
 def test_mixed_keys_sort_in_collation_order(spark):
