@@ -14,6 +14,7 @@ named columns are read, so others may have any names.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -145,9 +146,21 @@ class Ends:
         return found
 
     @functools.cached_property
-    def trailers(self) -> dict[int, int]:
-        """Offsets of cross-reference tables that trailers tell of, and the end of the last trailer that tells of each."""
-        return {int(m[1]): m.end() for m in re.finditer(rb"startxref\s{1,4}(\d{1,19})\s{1,4}%%EOF", self.blob)}
+    def pdfs(self) -> dict[int, int]:
+        """The start of each PDF file and its end: that of the last trailer whose table lies where it says, counted from the nearest header before it for which that holds."""
+        headers = [m.start() for m in re.finditer(rb"%PDF-", self.blob)]
+        tables = [m.start() for m in re.finditer(rb"(?<!start)xref\b|\d{1,10}\s{1,4}\d{1,5}\s{1,4}obj\b", self.blob)]
+        header_set, table_set = set(headers), set(tables)
+        valid: dict[int, list[int]] = {}  # headers by a trailer's offset
+        found: dict[int, int] = {}
+        for m in re.finditer(rb"startxref\s{1,4}(\d{1,19})\s{1,4}%%EOF", self.blob):
+            offset = int(m[1])
+            if offset not in valid:
+                valid[offset] = [h for h in headers if h + offset in table_set] if len(headers) < len(tables) else sorted(t - offset for t in tables if t - offset in header_set)
+            k = bisect.bisect_left(valid[offset], m.start())
+            if k and valid[offset][k - 1] + offset < m.start():
+                found[valid[offset][k - 1]] = m.end()
+        return found
 
 
 def _zip(b: bytes, at: int, ends: Ends) -> int | None:
@@ -155,12 +168,7 @@ def _zip(b: bytes, at: int, ends: Ends) -> int | None:
 
 
 def _pdf(b: bytes, at: int, ends: Ends) -> int | None:
-    """To the last trailer whose table lies where it says, counted from this header; updated files have several."""
-    found = [end for offset, end in ends.trailers.items() if at + offset < end and _TABLE.match(b, at + offset)]
-    return max(found) - at if found else None
-
-
-_TABLE = re.compile(rb"xref\b|\d{1,10}\s+\d{1,5}\s+obj\b")
+    return ends.pdfs[at] - at if at in ends.pdfs else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
