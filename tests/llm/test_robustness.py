@@ -212,7 +212,8 @@ def test_decoding_by_hand(spark):
         g = grams(t)
         loss = []
         for word in code:
-            parts = [math.log1p(math.exp(-((np.mean([odds[b][k] for k in g]) if g else 0.0) - centre[b]) / scale[b] * math.sqrt(min(max(len(g), 1), 400)) * word[b])) * scale[b] / np.mean(scale) for b in range(code.shape[1])]
+            z = [((np.mean([odds[b][k] for k in g]) if g else 0.0) - centre[b]) / scale[b] * math.sqrt(min(max(len(g), 1), 400)) for b in range(code.shape[1])]
+            parts = [float(np.logaddexp(0, -z[b] * word[b])) * scale[b] / np.mean(scale) for b in range(code.shape[1])]
             loss.append(sum(parts) / len(word))
         best = int(np.argmin(loss))
         assert got[i][0] == langs[best]
