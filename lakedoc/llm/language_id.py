@@ -10,7 +10,7 @@ whose two nearest codewords are close, or whose bits lie beyond what the code co
 Up to seven languages get the exhaustive code, more get dense words of fixed signs. Counts are
 aggregated by language and bucket, and turned into weights of bits by Spark's tasks, each for its own buckets. So any number of
 languages is learned: what reaches the driver is the model, 65,536 buckets x bits (about ten times the logarithm of
-the number of languages), and the languages' names. Memory for a text is a fixed part and about 20 bytes a byte.
+the number of languages), and the languages' names. Memory for a text is a fixed part and about 30 bytes a byte.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any training
 text all are ``und``; with one language all others are that language with score 1; null languages are

@@ -8,7 +8,7 @@ its lines' marginals, weighted by their length in bytes.
 The field is fitted by gradient ascent on a bounded sample: at most ``max_docs`` labelled documents of each
 label, the ones with the smallest hash of the id, and of each at most ``max_lines`` consecutive lines that begin at a place
 given by that hash, anywhere in the document; every line takes its document's label. Scoring covers all lines of all
-documents; a task holds a whole document's features, about 1 KB a line.
+documents; a task holds a whole document's features, about 3 KB a line.
 
 Defined cases: texts without a non-blank line (null and empty ones too) score the share of
 good documents in the sample; without labels that is 0.5 and all documents get it; several labels of a
