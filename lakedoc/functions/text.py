@@ -45,7 +45,7 @@ def highlight(text: Column, words: list[str], before: str = "<em>", after: str =
     """A fragment of up to ``size`` characters around the first hit, hits marked; null without one."""
     if not words:
         return F.lit(None).cast("string")
-    pattern = r"(?iu)\b(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")\b"
-    at = F.regexp_instr(text, F.lit(pattern))
+    pattern = f"(?iu)({whole_words(sorted(words, key=len, reverse=True))})"
+    at = F.char_length(F.split(text, pattern, 2)[0]) + 1  # counted in characters, as substring counts
     part = F.substring(text, F.greatest(F.lit(1), at - size // 4), F.lit(size))
-    return F.when(at > 0, F.regexp_replace(part, pattern, f"{before}$1{after}"))
+    return F.when(text.rlike(pattern), F.regexp_replace(part, pattern, f"{before}$1{after}"))

@@ -93,8 +93,8 @@ class Phrase(Query):
         found = analyse(self.text)
         if not found:
             return F.lit(False)
-        joined = F.concat(F.lit(" "), F.array_join(index.tokens(self.field), " "), F.lit(" "))
-        return reduce(and_, [index.has_letters(self.field, w) for w in found]) & joined.contains(f" {' '.join(found)} ")
+        joined = [F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" ")) for c in index.text_columns(self.field)]  # a phrase stands in one field
+        return reduce(and_, [index.has_letters(self.field, w) for w in found]) & reduce(or_, [j.contains(f" {' '.join(found)} ") for j in joined])
 
     def ids(self, index: SearchIndex) -> DataFrame:
         """Each posting votes for the places where the phrase would begin; a place with all votes is one."""

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators import revisions as R
 from ..operators.collection import Collection
-from ..operators.registry import IndexRegistry, database_updates, databases, layout_sizes, lookup, write_indexed
+from ..operators.registry import IndexRegistry, database_updates, databases, layout_sizes, lookup, update, write_indexed
 from ..operators.search import Everything, IndexField, NumberRange, Phrase, SearchIndex, Term, Wildcard
 from ..operators.views import Emit, GroupedReduce, PythonView, View, all_levels
 from ..sources.documents import as_attachments, attachment_references
@@ -170,14 +170,18 @@ def find_date_range(spark, d):
     return of(spark, d, "orders").find({"o_orderdate": {"$gte": "1995-01-01", "$lt": "1995-04-01"}}, limit=None).select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE FALSE")
+@query("SELECT event_id FROM events WHERE event_id % 5 = 2")
 def find_type_strict(spark, d):
-    return of(spark, d, "orders").find({"o_totalprice": {"$gt": "100000"}}, limit=None).select("o_orderkey")
+    """Texts above "4" alone: neither the number 4 and those above it nor missing fields compare with a text."""
+    return _uneven(spark, d).find({"props.k": {"$gt": "4"}}, limit=None).select("event_id")
 
 
-@query("SELECT o_orderkey FROM orders WHERE FALSE")
+@query("SELECT 0::BIGINT AS of_none, count(*) AS of_all FROM orders")
 def find_empty_selector(spark, d):
-    return of(spark, d, "orders").find({}, limit=None).select("o_orderkey")
+    """The empty selector finds nothing; a bound that every document meets finds all."""
+    c = of(spark, d, "orders")
+    found = c.find({}, limit=None).select(F.lit("of_none").alias("of")).unionByName(c.find({"o_orderkey": {"$gte": 0}}, limit=None).select(F.lit("of_all").alias("of")))
+    return found.agg(F.count_if(F.col("of") == "of_none").alias("of_none"), F.count_if(F.col("of") == "of_all").alias("of_all"))
 
 
 @query("SELECT c_custkey, c_name AS name, c_acctbal AS bal FROM customer WHERE c_nationkey = 3")
@@ -300,6 +304,15 @@ def partition_find(spark, d):
     return _mixed(spark, d).find({"number": {"$gte": 2}}, partition="nation", limit=None).select("name")
 
 
+@query("SELECT '_all_docs' AS name, true AS own, false AS other, count(*) AS n FROM nation WHERE n_regionkey >= 2")
+def partition_explain(spark, d):
+    """The index that a search within a partition reports, and which tables its plan reads."""
+    c, selector = _mixed(spark, d), {"number": {"$gte": 2}}
+    told = c.explain(selector, partition="nation", limit=None)
+    reads = {t: f"{t}.parquet" in told["plan"] for t in ("nation", "supplier")}
+    return c.find(selector, partition="nation", limit=None).agg(F.lit(told["index"]["name"]).alias("name"), F.lit(reads["nation"]).alias("own"), F.lit(reads["supplier"]).alias("other"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 'supplier' AS partition, count(*) AS doc_count, 0::BIGINT AS doc_del_count FROM supplier")
 def partition_info(spark, d):
     return _mixed(spark, d).partition_info("supplier")
@@ -693,6 +706,14 @@ def write_and_delete(spark, d):
     return R.apply_writes(current, R.bulk_docs(current, incoming)).select("_id", R.generation("_rev").alias("generation"), F.col("_deleted").alias("gone"), "value")
 
 
+@query(f"WITH {_CUR} SELECT id AS _id, CASE WHEN v > 50 THEN g + 1 ELSE g END::INT AS generation, CASE WHEN v > 50 THEN round(v / 2, 6) ELSE round(v, 6) END AS value FROM cur")
+def update_function(spark, d):
+    """An update function halves large values; what it gives back is written as a batch."""
+    current = _leaves(spark, d).drop("_seq").withColumn("_deleted", F.lit(False))
+    changed = update(current.where(F.col("value") > 50), lambda docs: docs.select("_id", "_rev", F.lit(0).alias("pos"), "_deleted", (F.col("value") / 2).alias("value")))
+    return R.apply_writes(current, R.bulk_docs(current, changed)).select("_id", R.generation("_rev").alias("generation"), F.round("value", 6).alias("value"))
+
+
 @query(f"WITH {_CUR} SELECT id AS _id, count(*) AS leaves, max(rev) AS winner FROM (SELECT id, rev FROM cur UNION ALL SELECT id, '1-0' FROM cur WHERE id::BIGINT % 4 = 0) GROUP BY id")
 def write_given_revisions(spark, d):
     """Revisions as they come from a replica: a branch of its own stays a leaf beside the winner."""
@@ -942,7 +963,19 @@ def search_by_postings(spark, d):
     return index.hits(query).select("doc_id")
 
 
-@query()
+_EDGE = r"[^\p{L}\p{N}]"
+_MARKED = r"[^\p{L}\p{N}\x01\x02]"
+
+
+@query(
+    _BM25.replace("SELECT doc_id, round(score, 6) AS score FROM x", "")
+    + ", page AS (SELECT doc_id, lang, source, n_chars, text FROM x JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 25), "
+    + rf"hits AS (SELECT *, length(regexp_extract(' ' || text || ' ', '(?is)^(.*?{_EDGE})(?:tion|ing){_EDGE}', 1)) AS place FROM page), "
+    + "parts AS (SELECT *, ' ' || substring(text, greatest(1, place - 50), 200) || ' ' AS part FROM hits), "
+    + rf"firsts AS (SELECT *, regexp_replace(part, '(?i)({_MARKED})(tion|ing)({_MARKED})', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') AS once FROM parts), "
+    + rf"marked AS (SELECT *, regexp_replace(once, '(?i)({_MARKED})(tion|ing)({_MARKED})', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') AS twice FROM firsts) "
+    + "SELECT doc_id, lang, source, n_chars, replace(replace(substring(twice, 2, length(twice) - 2), chr(1), '<em>'), chr(2), '</em>') AS highlight_text FROM marked"
+)
 def search_ranked(spark, d):
     return _index(spark, d).search(Term("tion ing", "text"), limit=25, highlight_fields=["text"])
 

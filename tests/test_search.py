@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakedoc.functions.text import analyse, whitespace_tokens, wildcard_pattern
+from lakedoc.functions.text import analyse, highlight, whitespace_tokens, wildcard_pattern
 from lakedoc.operators.collection import Collection
 from lakedoc.operators.registry import IndexRegistry, update, write_indexed
 from lakedoc.operators.search import Everything, IndexField, NumberRange, Phrase, SearchIndex, Term, Wildcard
@@ -60,6 +60,18 @@ def test_rank_and_highlight(people):
     assert "<em>green</em> <em>tea</em>" in got[0]["highlight_bio"]
 
 
+def test_highlights_mark_what_analysis_finds(spark):
+    rows = [(0, "\U0001f375" * 300 + " green_tea, Tea " + "x" * 300), (1, "steam and teas"), (2, None), (3, "")]
+    got = {r["id"]: r["h"] for r in spark.createDataFrame(rows, "id int, t string").select("id", highlight(F.col("t"), ["tea"]).alias("h")).collect()}
+    assert "green_<em>tea</em>, <em>Tea</em> x" in got[0] and got[1] is got[2] is got[3] is None
+
+
+def test_a_phrase_stands_in_one_field(people):
+    both = people.hits(Phrase("alice person"))
+    assert both.count() == 0 and people.hits(Phrase("likes green")).count() == 1
+
+
+
 def test_postings(people):
     got = {(r.term, r.id, r.pos) for r in people.postings().where("field = 'bio'").collect()}
     assert ("tea", "doc1", 3) in got and not [x for x in got if x[0] == "the"]
