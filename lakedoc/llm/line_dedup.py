@@ -13,6 +13,9 @@ the lines to remove from each text, which are keyed by the text's digest: equal
 With ``copies_once``, a text whose copies alone stand on ``min_sites`` sites or more counts as one site (the
 smallest of them), as else every line of it would be boilerplate and no copy would keep its text.
 
+With ``keep_one``, each boilerplate line stays in the longest text that holds it (of equally long ones, that with the largest
+digest) and in that text's copies. So of texts that are nearly the same and share most lines one stays whole.
+
 Lines are the parts of a text between line feeds, compared without outer spaces, tabs and carriage returns; lines of
 fewer than ``min_chars`` characters (blank ones too) are never judged or removed, as short lines are often the same by chance.
 
@@ -66,12 +69,22 @@ def boilerplate(docs: DataFrame, *, min_sites: int, min_chars: int, text_col: st
     return found
 
 
-def dedup_lines(docs: DataFrame, *, min_sites: int = 4, min_chars: int = 15, text_col: str = "text", site_col: str = "source", copies_once: bool = False, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_sites: int = 4, min_chars: int = 15, text_col: str = "text", site_col: str = "source", copies_once: bool = False, keep_one: bool = False, counts: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines out of ``text_col``, and columns ``n_lines`` and ``n_removed_lines`` (with ``counts``)."""
     common = boilerplate(docs, min_sites=min_sites, min_chars=min_chars, text_col=text_col, site_col=site_col, copies_once=copies_once).select("line_key")
     quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
-    held = docs.select(_digest(F.col(text_col)).alias("whole"), F.explode(F.array_distinct(F.transform(_judged(F.col(text_col), min_chars), _key))).alias("line_key"))
-    bad = cut(held.join(common, "line_key", "left_semi").groupBy("whole").agg(F.collect_set("line_key").alias("bad")))  # at most the distinct lines of one text in a row
+    size = [F.length(text_col).alias("size")] * keep_one
+    held = docs.select(_digest(F.col(text_col)).alias("whole"), *size, F.explode(F.array_distinct(F.transform(_judged(F.col(text_col), min_chars), _key))).alias("line_key"))
+    pairs = held.join(common, "line_key", "left_semi")
+    pairs = cut(pairs) if keep_one else pairs  # read twice
+    bad = pairs.groupBy("whole").agg(F.collect_set("line_key").alias("bad"))  # at most the distinct lines of one text in a row
+    if keep_one:
+        longest = pairs.groupBy("line_key").agg(F.max(F.struct("size", "whole"))["whole"].alias("whole"))
+        stays = longest.groupBy("whole").agg(F.collect_set("line_key").alias("stays"))
+        bad = bad.join(stays, "whole", "left").select("whole", F.when(F.col("stays").isNull(), F.col("bad")).otherwise(F.array_except("bad", "stays")).alias("bad"))
+    bad = cut(bad)
+    if keep_one:
+        discard(pairs)
     rows = docs.select(F.struct(*quoted.values()).alias("row"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("whole"))
     rows = rows.join(bad, "whole", "left")
     lines = F.split("text", "\n")
