@@ -31,9 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand on four sources or more; ``n_chars`` follows the text.
 
-    A text whose copies alone stand on so many counts as one source, so that the next stage finds its text to keep.
+    A text whose copies alone stand on so many counts as one source, so that the next stage finds its text to keep. Each such line stays in the longest
+    text that holds it, so texts that are nearly equal and stand on many sources are not lost in all their forms.
     """
-    found = dedup_lines(docs, copies_once=True, counts=False)
+    found = dedup_lines(docs, copies_once=True, keep_one=True, counts=False)
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else found
 
 
